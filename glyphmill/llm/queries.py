@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, pii, secrets
+from . import decontam, jaccard, packing, pii, secrets
 
 #: Names a key of the session's configuration in production; a fixed one here,
 #: so that results can be compared.
@@ -35,6 +35,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json").withColumnRenamed("id", "doc_id")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.pseudonymise(docs, key=PSEUDONYM_KEY, matches_col="matches")
@@ -53,6 +58,6 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op4_packing, op6_pii, op9_secrets)
+    f.__name__: f for f in (op1_decontamination, op4_packing, op5_ngram_jaccard_join, op6_pii, op9_secrets)
 }
 ORACLES: dict[str, str] = {}
