@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, packing, pii, secrets
+from . import decontam, jaccard, packing, pii, secrets, topk, warc
 
 #: Names a key of the session's configuration in production; a fixed one here,
 #: so that results can be compared.
@@ -31,6 +31,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json").withColumnRenamed("id", "doc_id")
 
@@ -58,6 +67,6 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op4_packing, op5_ngram_jaccard_join, op6_pii, op9_secrets)
+    f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_warc, op4_packing, op5_ngram_jaccard_join, op6_pii, op9_secrets)
 }
 ORACLES: dict[str, str] = {}
