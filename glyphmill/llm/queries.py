@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, packing, pii, secrets, topk, warc
+from . import decontam, jaccard, labelled, packing, pii, quality, secrets, topk, toxicity, warc
 
 #: Names a key of the session's configuration in production; a fixed one here,
 #: so that results can be compared.
@@ -56,6 +56,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", *map(count, pii.KINDS))
 
 
+def _scored(scores: DataFrame, least: float) -> DataFrame:
+    id_ = F.col("id")
+    return scores.select(id_.alias("doc_id"), labelled.held_out(id_).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -66,7 +76,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_warc, op4_packing, op5_ngram_jaccard_join, op6_pii, op9_secrets)
+    f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_warc, op4_packing, op5_ngram_jaccard_join, op6_pii, op8_toxicity, op9_secrets, op10_quality)
 }
 ORACLES: dict[str, str] = {}
