@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, labelled, packing, pii, quality, secrets, topk, toxicity, warc
+from . import decontam, htmltext, jaccard, labelled, packing, pii, quality, secrets, topk, toxicity, warc
 
 #: Names a key of the session's configuration in production; a fixed one here,
 #: so that results can be compared.
@@ -56,6 +56,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", *map(count, pii.KINDS))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def _scored(scores: DataFrame, least: float) -> DataFrame:
     id_ = F.col("id")
     return scores.select(id_.alias("doc_id"), labelled.held_out(id_).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
@@ -82,6 +87,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_warc, op4_packing, op5_ngram_jaccard_join, op6_pii, op8_toxicity, op9_secrets, op10_quality)
+    f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_warc, op4_packing, op5_ngram_jaccard_join, op6_pii, op7_html_extraction, op8_toxicity, op9_secrets, op10_quality)
 }
 ORACLES: dict[str, str] = {}
