@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same separators in texts whose case is not folded.
@@ -25,6 +27,8 @@ RAW_SEPARATORS, RAW_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\
 #: A benchmark's windows are broadcast up to this many bytes of words, and a
 #: list of documents to change up to this many rows.
 BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 1_000_000
+#: The one column that a removal joins to the documents meanwhile.
+FOUND = "__found_by_decontamination__"
 
 
 def fold(text: Column) -> Column:
@@ -96,29 +100,35 @@ def hit_positions(spans: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
 
 
-def _decide(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
-    """``found`` ready to join with ``docs``, and the condition."""
-    side = found.select(F.struct("id", "text_key", "spans", "items").alias("_found")).dropDuplicates(["_found"])
+def _hit_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, n: int, least_items: int) -> tuple[DataFrame, Column]:
+    """The documents with hits, written and ready to join with ``docs``, and the
+    condition; the list is broadcast below a checked number of rows."""
+    found = find(docs, benchmark, id_col, text_col, n=n).where(F.size("items") >= least_items)
+    side = Scratch(docs.sparkSession, "decontam").save(found.select(F.struct("id", "text_key", "spans", "items").alias(FOUND)).dropDuplicates([FOUND]), "hits")
     if side.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    return side, docs[id_col].eqNullSafe(F.col("_found.id")) & (F.xxhash64(docs[text_col]) == F.col("_found.text_key"))
+    return side, docs[id_col].eqNullSafe(F.col(f"{FOUND}.id")) & (F.xxhash64(docs[text_col]) == F.col(f"{FOUND}.text_key"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 8, least_items: int = 2) -> DataFrame:
     """``docs`` without the rows in which windows of ``least_items`` items occur."""
-    found = find(docs, benchmark, id_col, text_col, n=n).where(F.size("items") >= least_items)
-    side, same = _decide(docs, found, id_col, text_col)
+    side, same = _hit_rows(docs, benchmark, id_col, text_col, n, least_items)
     return docs.join(side, same, "left_anti")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 8) -> DataFrame:
-    """``docs`` with every hit word, and the separators after it, cut from the text."""
-    found = find(docs, benchmark, id_col, text_col, n=n).where(F.size("items") >= 1)
-    side, same = _decide(docs, found, id_col, text_col)
-    text = F.col(text_col)
+def remove_spans(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 8, drop_items: int | None = None
+) -> DataFrame:
+    """``docs`` with every hit word, and the separators after it, cut from the
+    text; rows with windows of ``drop_items`` items or more are removed whole."""
+    side, same = _hit_rows(docs, benchmark, id_col, text_col, n, 1)
+    text, spans = docs[text_col], F.col(f"{FOUND}.spans")
     lead = F.regexp_extract(text, f"^{RAW_SEPARATORS}+", 0)
     parts = F.regexp_extract_all(text, F.lit(f"{RAW_WORD}+{RAW_SEPARATORS}*"), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), hit_positions(F.col("_found.spans")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), hit_positions(spans))
     cut = F.concat(lead, F.array_join(F.transform(kept, lambda i: F.get(parts, i)), ""))
-    changed = F.when(F.col("_found").isNotNull(), cut).otherwise(text)
-    return docs.join(side, same, "left").select(*(changed.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    changed = F.when(spans.isNotNull(), cut).otherwise(text)
+    joined = docs.join(side, same, "left")
+    if drop_items is not None:
+        joined = joined.where(F.coalesce(F.size(F.col(f"{FOUND}.items")) < drop_items, F.lit(True)))
+    return joined.select(*(changed.alias(c) if c == text_col else docs[c] for c in docs.columns))

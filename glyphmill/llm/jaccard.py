@@ -43,6 +43,8 @@ BITS, PARTS = 18, 16
 BROADCAST_ROWS = 1_000_000
 #: Members that are verified against a hub in one task's group.
 CHUNK = 64
+#: The one column that a removal joins to the documents meanwhile.
+GONE = "__gone_by_jaccard__"
 #: While more pairs than this many times the nodes are left, hubs go first.
 PAIRS_PER_NODE, HUB_ROUNDS = 4, 4
 
@@ -275,3 +277,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with_set = join.sets.where("size > 0 and id is not null").join(known, "print").select("id", "size", "component")
     without = join.sets.where("size = 0 or id is null").select("id", "size", F.col("id").alias("component"))
     return with_set.union(without)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 4, percent: int = 85) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest
+    id. Rows without id stay; of rows with one id one stays."""
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    found = scratch.save(near_duplicates(docs, id_col, text_col, n=n, percent=percent), "classes")
+    gone = scratch.save(found.where(F.col("id") != F.col("component")).select(F.col("id").alias(GONE)).distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, docs[id_col].cast("long") == F.col(GONE), "left_anti")
+    again = scratch.save(found.where("id is not null and id = component").groupBy("id").count().where("count > 1").select(F.col("id").alias(GONE)), "again")
+    if again.isEmpty():
+        return left
+    same = left[id_col].cast("long") == F.col(GONE)
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col]))
