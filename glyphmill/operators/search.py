@@ -104,10 +104,13 @@ def phrase(index: Index, terms: list[str]) -> DataFrame:
     at = [(i, t) for i, t in enumerate(terms) if t not in STOP_WORDS]
     if not at:
         return index.docs.select("doc_id").where("false")
-    shift, first = at[0]
-    found = index.posting_list(first).select("doc_id", F.transform("positions", lambda p: p - shift).alias("starts"))
+
+    def starts(shift: int, term: str, name: str) -> DataFrame:
+        return index.posting_list(term).select("doc_id", F.transform("positions", lambda p: p - shift).alias(name))
+
+    found = starts(*at[0], "starts")
     for shift, term in at[1:]:
-        other = index.posting_list(term).select("doc_id", F.transform("positions", lambda p, shift=shift: p - shift).alias("next"))
+        other = starts(shift, term, "next")
         found = found.join(other, "doc_id").select("doc_id", F.array_intersect("starts", "next").alias("starts")).where(F.size("starts") > 0)
     return found.select("doc_id")
 
