@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sample
+from .store import Scratch
 
 #: Labelled rows of a fit, hashed features, features kept, penalties.
 ROWS, BITS, KEPT = 12_000, 20, 4_096
-RIDGE, FAIRNESS = 0.2, 1.0
+RIDGE, FAIRNESS, STEPS = 0.2, 1.0, 400
 #: Identity terms by group, lower case; one group's terms can stand for each other.
 IDENTITY_GROUPS = [
     ["women", "men"], ["woman", "man"], ["girls", "boys"], ["she", "he"], ["her", "him"], ["frauen", "männer"], ["femmes", "hommes"], ["mujeres", "hombres"],
@@ -102,14 +103,10 @@ class Model:
 
 
 class Sparse:
-    """Rows of (feature, count) over kept features, as log1p of the counts."""
+    """Counts as (row, column, count), taken as log1p of the counts."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], column: dict[int, int]):
-        spots = [(i, column[f], c) for i, (fs, cs) in enumerate(rows) for f, c in zip(fs.tolist(), cs.tolist()) if f in column]
-        self.n = len(rows)
-        self.row = np.array([s[0] for s in spots], "i8")
-        self.col = np.array([s[1] for s in spots], "i8")
-        self.val = np.log1p(np.array([s[2] for s in spots], "f8"))
+    def __init__(self, n: int, row: np.ndarray, col: np.ndarray, count: np.ndarray):
+        self.n, self.row, self.col, self.val = n, row, col, np.log1p(count.astype("f8"))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], minlength=self.n)
@@ -118,70 +115,97 @@ class Sparse:
         return np.bincount(self.col, self.val * r[self.row], minlength=width)
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]], ridge: float = RIDGE, fairness: float = FAIRNESS) -> Model:
-    """A model of (label, features, counts, swapped features, swapped counts)."""
-    y = np.array([r[0] for r in rows], "f8")
-    if not len(rows) or y.min() == y.max():
-        share = float(y.mean()) if len(rows) else 0.0
+def train(y: np.ndarray, x: Sparse, features: list[int], twins: tuple[Sparse, Sparse] | None = None, ridge: float = RIDGE, fairness: float = FAIRNESS) -> Model:
+    """The logistic fit; ``twins`` holds the rows with identity terms and their
+    counterfactuals, row for row."""
+    if not len(y) or y.min() == y.max():
+        share = float(y.mean()) if len(y) else 0.0
         return Model(float(np.log((share + 1e-6) / (1 - share + 1e-6))), {})
-    # features whose presence tells most about the label, by the G statistic
-    with_, pos = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for label, fs, *_ in rows:
-        with_[fs] += 1
-        if label:
-            pos[fs] += 1
-    n, n1 = len(rows), y.sum()
-    a, b = pos, with_ - pos
-    expected = with_ * n1 / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = np.where(a > 0, a * np.log(a / expected), 0) + np.where(b > 0, b * np.log(b / (with_ - expected)), 0)
-    g[with_ < 3] = 0
-    kept = np.sort(np.argsort(-g, kind="stable")[:KEPT])
-    kept = kept[g[kept] > 3]
-    column = {int(f): i for i, f in enumerate(kept)}
-    x = Sparse([(r[1], r[2]) for r in rows], column)
-    twins = [i for i, r in enumerate(rows) if r[3] is not None]
-    own, other = Sparse([(rows[i][1], rows[i][2]) for i in twins], column), Sparse([(rows[i][3], rows[i][4]) for i in twins], column)
-    width = len(kept)
-    w, bias = np.zeros(width), float(np.log(n1 / (n - n1)))
+    width, n1 = len(features), y.sum()
+    w, bias = np.zeros(width), float(np.log(n1 / (len(y) - n1)))
     # Adam on the whole batch: the same steps for the same rows, whatever their order
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
-    for step in range(1, 401):
+    for step in range(1, STEPS + 1):
         z = np.clip(x.dot(w) + bias, -30, 30)
         r = 1 / (1 + np.exp(-z)) - y
         grad = x.back(r, width) + ridge * w
         if twins:
-            change = own.dot(w) - other.dot(w)
-            grad += 2 * fairness * (own.back(change, width) - other.back(change, width))
+            change = twins[0].dot(w) - twins[1].dot(w)
+            grad += 2 * fairness * (twins[0].back(change, width) - twins[1].back(change, width))
         gb = r.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         rate = 0.05 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w -= rate * m / (np.sqrt(v) + 1e-8)
         bias -= rate * mb / (np.sqrt(vb) + 1e-8)
-    return Model(float(bias), {int(f): float(round(w[i], 6)) for i, f in enumerate(kept) if abs(w[i]) > 1e-3})
+    return Model(float(bias), {int(f): float(round(w[i], 6)) for i, f in enumerate(features) if abs(w[i]) > 1e-3})
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, rows: int = ROWS) -> Model:
-    """Fits on at most ``rows`` labelled rows outside the held-out part."""
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, n, pos): in how many texts of the task a feature occurs."""
+    n, pos = np.zeros(1 << BITS, "i4"), np.zeros(1 << BITS, "i4")
+    for batch in batches:
+        for label, text in zip(batch.column(0), batch.column(1)):
+            found = np.unique(np.array([f for w in words_of(text.as_py()) for f in features_of(w)], "i8"))
+            n[found] += 1
+            if label.as_py() > 0:
+                pos[found] += 1
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(n[at].astype("i8")), pa.array(pos[at].astype("i8"))], ["feature", "n", "pos"])
+
+
+def _kept_counts(kept: frozenset[int]) -> Callable:
+    """(id, label, twin, feature, count) of the kept features of every text and,
+    with ``twin`` 2, of its counterfactual; ``twin`` 1 marks texts that have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for id_, text, label in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(text)
-                own, twin = feature_counts(words), swapped(words)
-                other = feature_counts(twin) if twin else None
-                pack = lambda d, of: None if d is None else np.array(list(of(d)), "i4").tobytes()
-                out.append((str(id_), label, pack(own, dict.keys), pack(own, dict.values), pack(other, dict.keys), pack(other, dict.values)))
-            columns = list(zip(*out)) if out else [()] * 6
-            kinds = [pa.string(), pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "label", "f", "c", "tf", "tc"])
-
-    taken = sample(docs, labels, label, rows, id_col, text_col).select("id", "text", "label")
-    got = taken.mapInArrow(run, "id string, label int, f binary, c binary, tf binary, tc binary").collect()
-    read = lambda b: None if b is None else np.frombuffer(b, "i4").astype("i8")
-    return train([(int(r["label"] > 0), *(read(r[k]) for k in ("f", "c", "tf", "tc"))) for r in sorted(got, key=lambda r: (r["id"], r["f"]))])
+            out: list[tuple[str, int, int, list[int], list[int]]] = []
+            for id_, label, text in zip(*batch.columns):
+                words = words_of(text.as_py())
+                twin = swapped(words)
+                for mark, side in ((int(twin is not None), words), (2, twin)):
+                    if side is not None:
+                        counts = {f: c for f, c in feature_counts(side).items() if f in kept}
+                        out.append((id_.as_py(), int(label.as_py() > 0), mark, list(counts), list(counts.values())))
+            columns = list(zip(*out)) if out else [()] * 5
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "label", "twin", "features", "counts"])
+
+    return run
+
+
+def _sparse(rows: list, column: dict[int, int]) -> Sparse:
+    row = np.repeat(np.arange(len(rows)), [len(r["features"]) for r in rows])
+    flat = lambda k: [v for r in rows for v in r[k]]
+    return Sparse(len(rows), row, np.array([column[f] for f in flat("features")], "i8"), np.array(flat("counts"), "i8"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, rows: int = ROWS, ridge: float = RIDGE, fairness: float = FAIRNESS) -> Model:
+    """Fits on at most ``rows`` labelled rows outside the held-out part.
+
+    Which of the hashed features tell most about the label is counted on the
+    executors; the driver gets the counts of the KEPT best ones in every row.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    taken = scratch.save(sample(docs, labels, label, rows, id_col, text_col).select(F.col("id").cast("string").alias("id"), "label", "text"), "sample")
+    size = taken.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0)).alias("pos")).first()
+    n, n1 = size["n"], size["pos"]
+    if not 0 < n1 < n:
+        return train(np.array([1.0] * n1 + [0.0] * (n - n1)), Sparse(n, *[np.zeros(0, "i8")] * 3), [])
+    counts = taken.select("label", "text").mapInArrow(_presence, "feature int, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where("n >= 3")
+    a, b, share = F.col("pos"), F.col("n") - F.col("pos"), n1 / n
+    # how much the presence of a feature tells about the label: the G statistic
+    part = lambda x, p: F.when(x > 0, x * F.log(x / (F.col("n") * p))).otherwise(0.0)
+    best = counts.withColumn("g", part(a, share) + part(b, 1 - share)).where("g > 3").orderBy(F.col("g").desc(), "feature").limit(KEPT).select("feature").collect()
+    features = sorted(r["feature"] for r in best)
+    got = taken.mapInArrow(_kept_counts(frozenset(features)), "id string, label int, twin int, features array<int>, counts array<int>").collect()
+    got = sorted(got, key=lambda r: (r["twin"] == 2, r["id"], r["twin"], r["features"]))
+    column = {f: i for i, f in enumerate(features)}
+    own = [r for r in got if r["twin"] < 2]
+    marked, others = [r for r in own if r["twin"]], [r for r in got if r["twin"] == 2]
+    twins = (_sparse(marked, column), _sparse(others, column)) if marked else None
+    return train(np.array([r["label"] for r in own], "f8"), _sparse(own, column), features, twins, ridge, fairness)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
