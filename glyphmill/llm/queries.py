@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, htmltext, jaccard, labelled, packing, pii, quality, secrets, topk, toxicity, warc
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "PSEUDONYM_KEY", "table"]
 
 #: Names a key of the session's configuration in production; a fixed one here,
 #: so that results can be compared.
@@ -89,4 +92,3 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_warc, op4_packing, op5_ngram_jaccard_join, op6_pii, op7_html_extraction, op8_toxicity, op9_secrets, op10_quality)
 }
-ORACLES: dict[str, str] = {}
