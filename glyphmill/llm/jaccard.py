@@ -4,19 +4,20 @@ Method: grouped prefix join. Under any total order of the shingles, two sets of
 Jaccard similarity t or more share a shingle among the first
 n - ceil(t * n) + 1 of each. Documents with equal sets are one node; nodes with
 equal prefixes and sizes are one group; groups that share a prefix shingle are
-filtered by size; what is left is expanded to nodes and verified on whole sets.
+filtered by size; what is left is expanded to nodes, ruled out by class counts
+where these bound the shared part too low, and verified on whole sets.
 
 The order puts frequent shingles last: a table of counters over hashes of all
 shingles of all documents, of fixed size, gives each shingle a level. A passage
 that many documents share so stays out of their prefixes unless they consist
 of it.
 
-Groups of near copies would still meet in all pairs. Only what links can join
-is wanted, so nodes are first verified against one hub each of a bucket, links
-are turned into components, and then only pairs across components are verified:
-a large group of near copies costs about one verification a node. The last round
-always verifies every remaining pair, so no link between different components
-is lost.
+Buckets of few members are joined with themselves. Groups of copies, which fill
+larger ones, are never written out in pairs: every node there is verified against
+one hub first, the node with the most common shingles, and links become components.
+Then larger buckets are cut into blocks, a task compares two blocks by class counts,
+and gives the pairs of different components that may be linked. All of these are
+verified, so no link between different components is lost.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked
 with nothing; texts shorter than a shingle are one shingle; rows with the same
@@ -34,19 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import fingerprint, shingle_set
+from .shingles import fingerprint, shingle_sets
 from .store import Scratch
 
 #: Counters of the frequency table (2**bits) and the parts they travel in.
 BITS, PARTS = 18, 16
 #: Node lists up to this many rows are broadcast to the scan of the texts.
 BROADCAST_ROWS = 1_000_000
-#: Members that are verified against a hub in one task's group.
-CHUNK = 64
+#: Members that are verified against a hub in one task's group, classes of the
+#: counts that rule pairs out before, and rows that Python holds at once.
+CHUNK, CLASSES, SLICE = 64, 256, 500
+#: Members of a bucket up to which its pairs are joined, and of a block beyond.
+FEW, BLOCK = 32, 512
 #: The one column that a removal joins to the documents meanwhile.
 GONE = "__gone_by_jaccard__"
-#: While more pairs than this many times the nodes are left, hubs go first.
-PAIRS_PER_NODE, HUB_ROUNDS = 4, 4
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -57,6 +59,54 @@ def linked(shared: int, a: int, b: int, percent: int) -> bool:
     return 100 * shared >= percent * (a + b - shared)
 
 
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The column's texts one after another, never all at once."""
+    return (value.as_py() for value in column)
+
+
+def class_counts(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each of CLASSES classes; the shared part of two
+    sets is at most the sum of the smaller counts. Counts beyond 16 bits are
+    replaced by the largest number everywhere, which keeps that a bound."""
+    counts = np.bincount((hashes & np.uint64(CLASSES - 1)).astype("i8"), minlength=CLASSES)
+    return (np.full(CLASSES, 0xFFFF) if counts.max() > 0xFFFF else counts).astype("<u2").tobytes()
+
+
+def _may_link(percent: int) -> Callable:
+    """The pairs (hub, node) whose class counts allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, CLASSES) for c in ("marks_a", "marks_b"))
+                most = np.minimum(a, b).sum(axis=1, dtype="i8")
+                both = part.column("size_a").to_numpy() + part.column("size_b").to_numpy()
+                keep = pa.array(100 * most >= percent * (both - most))
+                yield pa.RecordBatch.from_arrays([part.column("hub").filter(keep), part.column("node").filter(keep)], ["hub", "node"])
+
+    return run
+
+
+def _pairs_of_blocks(percent: int) -> Callable:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = key[2].as_py(), key[3].as_py()
+        mine, node, size, part = (table[c].to_numpy() for c in ("mine", "node", "size", "component"))
+        marks = np.frombuffer(b"".join(table["marks"].to_pylist()), "<u2").reshape(-1, CLASSES)
+        hubs, nodes = [], []
+        others = np.flatnonzero(mine == high)
+        for i in np.flatnonzero(mine == low):
+            j = others[(part[others] != part[i]) & (np.minimum(size[others], size[i]) * 100 >= np.maximum(size[others], size[i]) * percent)]
+            if low == high:
+                j = j[node[j] > node[i]]
+            most = np.minimum(marks[j], marks[i]).sum(axis=1, dtype="i8")
+            j = j[100 * most >= percent * (size[j] + size[i] - most)]
+            hubs.append(np.minimum(node[j], node[i])), nodes.append(np.maximum(node[j], node[i]))
+        return pa.table({"hub": pa.array(np.concatenate(hubs) if hubs else [], pa.int64()), "node": pa.array(np.concatenate(nodes) if nodes else [], pa.int64())})
+
+    return run
+
+
 def _summaries(n: int) -> Callable:
     """(id, size, print) of every row; at the end of a task also its counters."""
 
@@ -64,11 +114,8 @@ def _summaries(n: int) -> Callable:
         counts = np.zeros(1 << BITS, "i8")
         for batch in batches:
             sizes, prints = [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_set(text, n)
-                counts += np.bincount((hashes >> np.uint64(64 - BITS)).astype("i8"), minlength=1 << BITS) if len(hashes) > 1 << 14 else 0
-                if len(hashes) <= 1 << 14:
-                    np.add.at(counts, (hashes >> np.uint64(64 - BITS)).astype("i8"), 1)
+            for hashes in shingle_sets(texts_of(batch.column(1)), n):
+                np.add.at(counts, (hashes >> np.uint64(64 - BITS)).astype("i8"), 1)
                 sizes.append(len(hashes)), prints.append(fingerprint(hashes))
             k = len(sizes)
             yield pa.RecordBatch.from_arrays(
@@ -97,33 +144,37 @@ def _levels(counters: DataFrame) -> np.ndarray:
     salts = max(1, int(tasks**0.5))
     partly = counters.select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(salts)).alias("salt")).groupBy("part", "salt").applyInArrow(_add_up, "part int, counts binary")
     whole = partly.groupBy("part").applyInArrow(_add_up, "part int, counts binary").collect()
+    if not whole:
+        return np.zeros(1 << BITS, "u8")
     sums = np.concatenate([np.frombuffer(r["counts"], "i8") for r in sorted(whole, key=lambda r: r["part"])])
     return np.minimum(np.log2(1 + sums.astype("f8")) * 6, 255).astype("u8")
 
 
 def _prefixes(n: int, percent: int, levels: np.ndarray) -> Callable:
-    """(id, size, print, group, prefix) of every row with a set; group: a hash of
-    prefix and size."""
+    """(id, size, print, group, prefix, marks, common) of every row with a set;
+    group: a hash of prefix and size; marks: its class counts; common: the mean
+    level of its shingles, which is largest in the text that others are copies of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, prints, groups, prefixes = [], [], [], [], []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes = shingle_set(text, n)
+            ids, sizes, prints, groups, prefixes, marks, common = [], [], [], [], [], [], []
+            for id_, hashes in zip(batch.column(0).to_pylist(), shingle_sets(texts_of(batch.column(1)), n)):
                 if not len(hashes) or id_ is None:
                     continue
                 k = prefix_length(len(hashes), percent)
-                ranks = (levels[(hashes >> np.uint64(64 - BITS)).astype("i8")] << np.uint64(56)) | (hashes >> np.uint64(8))
+                level = levels[(hashes >> np.uint64(64 - BITS)).astype("i8")]
+                ranks = (level << np.uint64(56)) | (hashes >> np.uint64(8))
+                common.append(int(level.sum()) * 1000 // len(hashes))
                 prefix = hashes[np.argpartition(ranks, k - 1)[:k]] if k < len(hashes) else hashes
                 prefix = np.sort(prefix)
                 ids.append(id_), sizes.append(len(hashes)), prints.append(fingerprint(hashes))
                 groups.append(fingerprint(np.append(prefix, np.uint64(len(hashes)))))
-                prefixes.append(prefix.view("i8"))
+                prefixes.append(prefix.view("i8")), marks.append(class_counts(hashes))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype("i4")
             values = np.concatenate(prefixes) if prefixes else np.empty(0, "i8")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(groups, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                ["id", "size", "print", "group", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(groups, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(marks, pa.binary()), pa.array(common, pa.int64())],
+                ["id", "size", "print", "group", "prefix", "marks", "common"],
             )
 
     return run
@@ -134,13 +185,14 @@ def _sets(n: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, sets, prints, texts = [], [], batch.column(2).to_pylist(), batch.column(1).to_pylist()
-            for i, (text, own) in enumerate(zip(texts, prints)):
-                hashes = shingle_set(text, n)
-                if fingerprint(hashes) == own:
-                    keep.append(i), sets.append(hashes.tobytes())
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in (0, 3, 4)), pa.array(sets, pa.binary())], ["node", "hub", "chunk", "hashes"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                keep, sets, prints = [], [], part.column(2).to_pylist()
+                for i, hashes in enumerate(shingle_sets(texts_of(part.column(1)), n)):
+                    if fingerprint(hashes) == prints[i]:
+                        keep.append(i), sets.append(hashes.tobytes())
+                rows = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in (0, 3, 4)), pa.array(sets, pa.binary())], ["node", "hub", "chunk", "hashes"])
 
     return run
 
@@ -169,11 +221,15 @@ class Join:
         seen = self.scratch.save(self.rows.mapInArrow(_summaries(n), "id long, size long, print binary, part int, counts binary"), "summaries")
         self.sets = seen.where("part is null").select("id", "size", "print")
         levels = _levels(seen.where("part is not null").select("part", "counts"))
-        self.prefixes = self.scratch.save(self.rows.mapInArrow(_prefixes(n, percent, levels), "id long, size long, print binary, group binary, prefix array<long>"), "prefixes")
-        nodes = self.prefixes.groupBy("print").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("group").alias("group"))
-        self.nodes = self.scratch.save(nodes, "nodes")
-        groups = self.nodes.groupBy("group").agg(F.min("node").alias("hub"))
-        self.members = self.scratch.save(self.nodes.join(groups, "group").select("node", "size", "print", F.col("hub").alias("group")), "members")
+        self.prefixes = self.scratch.save(self.rows.mapInArrow(_prefixes(n, percent, levels), "id long, size long, print binary, group binary, prefix array<long>, marks binary, common long"), "prefixes")
+        pairs = self.prefixes.groupBy("id", "print").agg(F.count("*").alias("n"))
+        if not pairs.where("n > 1").isEmpty():
+            # rows that are repeated as they are stand for one, everywhere but in the result
+            self.prefixes = self.scratch.save(self.prefixes.dropDuplicates(["id", "print"]), "prefixes-once")
+            self.rows = self.rows.dropDuplicates(["id", "text"])
+        nodes = self.prefixes.groupBy("print").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("group").alias("group"), F.first("common").alias("common"))
+        groups = nodes.groupBy("group").agg(F.min("node").alias("hub"))
+        self.members = self.scratch.save(nodes.join(groups, "group").select("node", "size", "print", "common", F.col("hub").alias("group")), "members")
         self.links: DataFrame | None = None
         self.rounds = 0
 
@@ -182,22 +238,31 @@ class Join:
         lead = self.members.where(F.col("node") == F.col("group")).select(F.col("node").alias("id"), "print")
         each = self.prefixes.join(lead, ["id", "print"], "left_semi")
         rows = each.select(F.explode("prefix").alias("shingle"), F.col("id").alias("group"), "size")
-        ends = rows.groupBy("shingle").agg(F.min("group").alias("first"), F.max("group").alias("last")).where(F.col("first") != F.col("last"))
-        shared = self.scratch.save(ends.select("shingle", "first"), "shared")
+        ends = rows.groupBy("shingle").agg(F.min("group").alias("first"), F.max("group").alias("last"), F.count("*").alias("n")).where(F.col("first") != F.col("last"))
+        shared = self.scratch.save(ends.select("shingle", "first", "n"), "shared")
         if shared.count() <= BROADCAST_ROWS:
             shared = F.broadcast(shared)
         return self.scratch.save(rows.join(shared, "shingle"), "buckets")
 
+    def marks(self) -> DataFrame:
+        """(id, marks, size) of the nodes."""
+        own = self.members.select(F.col("node").alias("id"), "print", "size")
+        return self.prefixes.select("id", "print", "marks").join(own, ["id", "print"]).drop("print")
+
     def verify(self, pairs: DataFrame) -> None:
         """Adds the pairs (hub, node) that are linked to ``links``."""
         self.rounds += 1
         name = f"round-{self.rounds}"
-        pairs = self.scratch.save(pairs.where("hub != node").distinct(), f"{name}-pairs")
+        met = self.scratch.save(pairs.where("hub != node").distinct(), f"{name}-met")
+        marks = self.marks()
+        small = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
+        one = marks.select(F.col("id").alias("hub"), F.col("marks").alias("marks_a"), F.col("size").alias("size_a")).join(small, "hub")
+        two = one.join(marks.select(F.col("id").alias("node"), F.col("marks").alias("marks_b"), F.col("size").alias("size_b")), "node")
+        pairs = self.scratch.save(two.mapInArrow(_may_link(self.percent), "hub long, node long").distinct(), f"{name}-pairs")
         if not (total := pairs.count()):
             return
         busy = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
         dealt = pairs.join(busy, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-        dealt = self.scratch.save(dealt, f"{name}-dealt")
         need = dealt.union(dealt.select("hub", F.col("hub").alias("node"), "chunk").distinct()).join(self.members.select("node", "print"), "node")
         if total <= BROADCAST_ROWS:
             need = F.broadcast(need)
@@ -217,51 +282,54 @@ class Join:
     def run(self) -> DataFrame:
         """(node, component) after every link across components was looked at."""
         buckets = self.buckets()
-        to_group = self.members.where("node != group").select(F.col("group").alias("hub"), "node")
-        to_first = buckets.groupBy("group").agg(F.min("first").alias("hub")).select("hub", F.col("group").alias("node"))
-        self.verify(to_group.union(to_first))
-        for turn in range(HUB_ROUNDS + 1):
-            classes = self.scratch.save(self.classes(), f"classes-{turn}")
-            held = self.members.join(classes, "node").select("node", "group", "size", "component")
-            held = self.scratch.save(held, f"held-{turn}")
-            kinds = held.select("group", "component").distinct()
-            # a group is a bucket of its own members, too
-            own = held.select(F.col("group").alias("shingle"), F.lit(True).alias("own"), "group", "size", "component").distinct()
-            spots = buckets.select("shingle", "group", "size").join(kinds, "group").select("shingle", F.lit(False).alias("own"), "group", "size", "component")
-            spots = spots.union(own)
-            parts = spots.groupBy("shingle", "own", "component").agg(F.count("*").alias("c"))
-            mixed = parts.groupBy("shingle", "own").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("kinds")).where("kinds > 1")
-            mixed = self.scratch.save(mixed, f"mixed-{turn}")
-            total = mixed.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0)).alias("n")).first()["n"]
-            if not total:
-                break
-            spots = self.scratch.save(spots.join(mixed.select("shingle", "own"), ["shingle", "own"]), f"spots-{turn}")
-            if turn < HUB_ROUNDS and total > PAIRS_PER_NODE * held.count():
-                self.verify(self._against_hubs(spots, held, turn))
-                continue
-            self.verify(self._all_pairs(spots, held))
-            classes = self.scratch.save(self.classes(), "classes-last")
-            break
-        return classes
-
-    def _against_hubs(self, spots: DataFrame, held: DataFrame, turn: int) -> DataFrame:
-        """Every node against one node of another component in its buckets."""
-        drawn = F.xxhash64("group", "component", F.lit(turn))
-        hub = F.min(F.struct(drawn.alias("d"), F.col("group").alias("hub_group"), F.col("component").alias("hub_component"), F.col("size").alias("hub_size")))
-        hubs = spots.groupBy("shingle", "own").agg(hub.alias("h")).select("shingle", "own", "h.*")
-        near = spots.join(hubs, ["shingle", "own"]).where((F.col("component") != F.col("hub_component")) & self._sizes("size", "hub_size"))
-        kinds = near.groupBy("group", "component").agg(F.min(F.struct(F.col("d"), "hub_group", "hub_component")).alias("h")).select("group", "component", "h.hub_group", "h.hub_component")
-        first = held.groupBy(F.col("group").alias("hub_group"), F.col("component").alias("hub_component")).agg(F.min("node").alias("hub"))
-        return kinds.join(first, ["hub_group", "hub_component"]).join(held, ["group", "component"]).select("hub", "node")
-
-    def _all_pairs(self, spots: DataFrame, held: DataFrame) -> DataFrame:
-        a = spots.select("shingle", "own", *(F.col(c).alias(f"{c}_a") for c in ("group", "component", "size")))
-        b = spots.select("shingle", "own", *(F.col(c).alias(f"{c}_b") for c in ("group", "component", "size")))
-        met = a.join(b, ["shingle", "own"]).where((F.col("component_a") < F.col("component_b")) & self._sizes("size_a", "size_b"))
-        met = met.select("group_a", "component_a", "group_b", "component_b").distinct()
-        ends = [held.select(F.col("node").alias(f"node_{s}"), F.col("group").alias(f"group_{s}"), F.col("component").alias(f"component_{s}")) for s in "ab"]
-        pairs = met.join(ends[0], ["group_a", "component_a"]).join(ends[1], ["group_b", "component_b"])
-        return pairs.select(F.col("node_a").alias("hub"), F.col("node_b").alias("node"))
+        large = self.scratch.save(self.large(buckets), "large")
+        self.verify(self.to_hubs(large))
+        held = self.scratch.save(self.members.select("node", "group", "size").join(self.classes(), "node"), "held")
+        self.verify(self.few(buckets, held).union(self.blocked(large, held)))
+        return self.classes()
+
+    def large(self, buckets: DataFrame) -> DataFrame:
+        """(key, own, node, size, common) of buckets and groups of more than FEW."""
+        in_buckets = buckets.where(F.col("n") > FEW).select(F.col("shingle").alias("key"), F.lit(False).alias("own"), "group")
+        groups = self.members.groupBy("group").count().where(F.col("count") > FEW).select("group")
+        keys = in_buckets.union(groups.select(F.col("group").alias("key"), F.lit(True).alias("own"), "group"))
+        return keys.join(self.members, "group").select("key", "own", "node", "size", "common")
+
+    def to_hubs(self, large: DataFrame) -> DataFrame:
+        """(hub, node): every node of a large bucket with one hub, the node of its
+        buckets whose shingles are the most common ones."""
+        top = F.max(F.struct("common", (-F.col("node")).alias("minus"), F.col("size").alias("hub_size")))
+        hubs = large.groupBy("key", "own").agg(top.alias("hub"))
+        near = large.join(hubs, ["key", "own"]).where(self._sizes("size", "hub.hub_size"))
+        best = near.groupBy("node").agg(F.max(F.struct("hub.common", "hub.minus")).alias("hub"))
+        return best.select((-F.col("hub.minus")).alias("hub"), "node")
+
+    def few(self, buckets: DataFrame, held: DataFrame) -> DataFrame:
+        """(hub, node) of different components that meet in buckets and groups of
+        at most FEW: group pairs are filtered by size, then expanded."""
+        small = buckets.where(F.col("n") <= FEW)
+        a, b = (small.select("shingle", F.col("group").alias(f"group_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
+        near = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("group_a") < F.col("group_b")) & self._sizes("size_a", "size_b")).select("group_a", "group_b").distinct()
+        ends = [held.select(F.col("node").alias(n), F.col("group").alias(f"group_{s}"), F.col("component").alias(f"component_{s}")) for s, n in (("a", "hub"), ("b", "node"))]
+        across = near.join(ends[0], "group_a").join(ends[1], "group_b")
+        groups = held.groupBy("group").count().where(F.col("count").between(2, FEW)).select("group")
+        inner = held.join(groups, "group")
+        ends = [inner.select("group", F.col("node").alias(n), F.col("component").alias(f"component_{s}")) for s, n in (("a", "hub"), ("b", "node"))]
+        inside = ends[0].join(ends[1], "group").where("hub < node")
+        both = across.select("hub", "node", "component_a", "component_b").union(inside.select("hub", "node", "component_a", "component_b"))
+        return both.where("component_a != component_b").select("hub", "node")
+
+    def blocked(self, large: DataFrame, held: DataFrame) -> DataFrame:
+        """(hub, node) of different components that meet in larger buckets and
+        groups, if their class counts allow a link. A bucket is cut into blocks;
+        a task sees two blocks of it and gives only the pairs that are left."""
+        rows = large.select("key", "own", "node", "size").join(held.select("node", "component"), "node")
+        blocks = rows.groupBy("key", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+        marked = rows.join(blocks, ["key", "own"]).join(self.marks().select(F.col("id").alias("node"), "marks"), "node")
+        mine = marked.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+        dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        dealt = dealt.select("key", "own", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "size", "component", "marks")
+        return dealt.groupBy("key", "own", "low", "high").applyInArrow(_pairs_of_blocks(self.percent), "hub long, node long")
 
     def _sizes(self, a: str, b: str):
         """What the sizes of linked sets must satisfy."""
@@ -273,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that links reach, itself included."""
     join = Join(docs, id_col, text_col, n, percent)
     classes = join.run()
-    known = join.nodes.join(classes, "node").select("print", "component")
+    known = join.members.join(classes, "node").select("print", "component")
     with_set = join.sets.where("size > 0 and id is not null").join(known, "print").select("id", "size", "component")
     without = join.sets.where("size = 0 or id is null").select("id", "size", F.col("id").alias("component"))
     return with_set.union(without)
