@@ -84,7 +84,8 @@ class Index:
         postings = self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
         if purge:
             docs = self.docs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
-            return Index(docs, postings, term_table(postings), corpus_stats(docs, postings))
+            terms = term_table(postings)
+            return Index(docs, postings, terms, corpus_stats(docs, terms))
         left = self.terms.select("term").join(term_table(postings), "term", "left")
         return Index(self.docs, postings, left.select("term", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("cf", F.lit(0)).alias("cf")), self.stats)
 
@@ -92,32 +93,35 @@ class Index:
         return Index(*(d.cache() for d in (self.docs, self.postings, self.terms, self.stats)))
 
 
-def postings_of(toks: DataFrame, stop_words: list[str] | None = None, positions: bool = True) -> DataFrame:
-    kept = toks.where(~T.is_stop_word(F.col("term"), stop_words))
+def grouped(toks: DataFrame, stop_words: list[str] | None = None, positions: bool = True) -> DataFrame:
+    """(term, doc_id, tf, wtf, positions, stop): the one shuffle of a build. Stop
+    words stay in, without positions, so that word counts come from here too."""
+    stop = T.is_stop_word(F.col("term"), stop_words)
     parts = [F.count("*").alias("tf"), F.sum(field_weight(F.col("field"))).alias("wtf")]
     if positions:
-        parts.append(F.array_sort(F.collect_list("position")).alias("positions"))
-    return kept.groupBy("term", "doc_id").agg(*parts)
+        parts.append(F.array_sort(F.collect_list(F.when(~stop, F.col("position")))).alias("positions"))
+    return toks.groupBy("term", "doc_id").agg(*parts).withColumn("stop", stop)
 
 
 def term_table(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def word_counts(docs: DataFrame, toks: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs with word_count: tokens before the stop-word filter."""
-    counts = toks.groupBy("doc_id").agg(F.count("*").alias("word_count"))
+    counts = groups.groupBy("doc_id").agg(F.sum("tf").alias("word_count"))
     return docs.join(counts, "doc_id", "left").withColumn("word_count", F.coalesce("word_count", F.lit(0)).cast("long"))
 
 
-def corpus_stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
+def corpus_stats(docs: DataFrame, terms: DataFrame) -> DataFrame:
     sizes = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("word_count"), F.lit(0.0)).alias("avgdl"))
-    return sizes.crossJoin(postings.agg(F.countDistinct("term").alias("n_terms"))).select("n_docs", "n_terms", "avgdl")
+    return sizes.crossJoin(terms.where("df > 0").agg(F.count("*").alias("n_terms"))).select("n_docs", "n_terms", "avgdl")
 
 
 def build(docs: DataFrame, stop_words: list[str] | None = None, keep_fields: bool = True, positions: bool = True) -> Index:
-    """The index of documents with distinct ids."""
-    toks = tokens(docs, keep_fields)
-    postings = postings_of(toks, stop_words, positions)
-    sized = word_counts(docs, toks)
-    return Index(sized, postings, term_table(postings), corpus_stats(sized, postings))
+    """The index of documents with distinct ids, as a plan; ``store.build`` also
+    writes it, and tokenizes once."""
+    groups = grouped(tokens(docs, keep_fields), stop_words, positions)
+    postings = groups.where(~F.col("stop")).drop("stop")
+    sized, terms = word_counts(docs, groups), term_table(postings)
+    return Index(sized, postings, terms, corpus_stats(sized, terms))

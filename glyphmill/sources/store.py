@@ -12,7 +12,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import Index
+from ..operators.index import Index, corpus_stats, grouped, term_table, tokens, word_counts
 
 FORMAT, VERSION = "glyphmill-index", 1
 TABLES = ("docs", "postings", "terms", "stats")
@@ -28,20 +28,53 @@ def checksum(df: DataFrame) -> int:
     return int(df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("s")).first()["s"])
 
 
-def save(index: Index, path: str, version: int = 1, sort_partitions: int | None = None) -> None:
-    spark, tables = index.docs.sparkSession, {}
+def _by_term(df: DataFrame, parts: int | None) -> DataFrame:
+    return (df.repartitionByRange(parts, "term") if parts else df.repartitionByRange("term")).sortWithinPartitions("term")
+
+
+def _path(root: str, name: str) -> str:
+    """Postings lie beside the counts of stop words, in a folder of their own."""
+    return f"{root}/postings/stop=false" if name == "postings" else f"{root}/{name}"
+
+
+def _publish(spark: SparkSession, path: str, version: int) -> None:
+    """Writes the manifest of a version and makes it current."""
+    tables = {}
     for name in TABLES:
-        df: DataFrame = getattr(index, name)
-        if name in ("postings", "terms"):
-            df = (df.repartitionByRange(sort_partitions, "term") if sort_partitions else df.repartitionByRange("term")).sortWithinPartitions("term")
-        df.write.mode("overwrite").parquet(f"{path}/v{version}/{name}")
-        written = spark.read.parquet(f"{path}/v{version}/{name}")
+        written = spark.read.parquet(_path(f"{path}/v{version}", name))
         tables[name] = {"rows": written.count(), "checksum": checksum(written)}
     manifest = json.dumps({"format": FORMAT, "version": VERSION, "tables": tables})
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/v{version}/manifest")
     spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
 
 
+def save(index: Index, path: str, version: int = 1, parts: int | None = None) -> None:
+    """Writes any index as the given version."""
+    for name in TABLES:
+        df: DataFrame = getattr(index, name)
+        if name in ("postings", "terms"):
+            df = _by_term(df, parts)
+        df.write.mode("overwrite").parquet(_path(f"{path}/v{version}", name))
+    _publish(index.docs.sparkSession, path, version)
+
+
+def build(docs: DataFrame, path: str, version: int = 1, parts: int | None = None, **options: object) -> Index:
+    """Builds the index of documents and writes it. The texts are tokenized once;
+    terms, word counts and statistics come from the written groups."""
+    spark, root = docs.sparkSession, f"{path}/v{version}"
+    keep_fields = bool(options.pop("keep_fields", True))
+    made = grouped(tokens(docs, keep_fields), **options)
+    _by_term(made, parts).write.mode("overwrite").partitionBy("stop").parquet(f"{root}/postings")
+    groups = spark.read.schema(made.schema).parquet(f"{root}/postings")
+    word_counts(docs, groups).write.mode("overwrite").parquet(f"{root}/docs")
+    _by_term(term_table(groups.where(~F.col("stop"))), parts).write.mode("overwrite").parquet(f"{root}/terms")
+    corpus_stats(spark.read.parquet(f"{root}/docs"), spark.read.parquet(f"{root}/terms")).write.mode("overwrite").parquet(f"{root}/stats")
+    if not groups.where(~F.col("stop")).take(1):
+        groups.where("false").drop("stop").write.mode("overwrite").parquet(_path(root, "postings"))
+    _publish(spark, path, version)
+    return load(spark, path)
+
+
 def _text(spark: SparkSession, path: str) -> str:
     return "".join(r["value"] for r in spark.read.text(path).take(1))
 
@@ -55,7 +88,7 @@ def load(spark: SparkSession, path: str, verify: bool = False) -> Index:
         raise StoreError(f"damaged manifest in {path}") from e
     if manifest.get("format") != FORMAT or not 1 <= manifest.get("version", 0) <= VERSION:
         raise StoreError(f"{path} is no index of format {FORMAT}, version {VERSION}")
-    index = Index(*(spark.read.parquet(f"{path}/v{version}/{name}") for name in TABLES))
+    index = Index(*(spark.read.parquet(_path(f"{path}/v{version}", name)) for name in TABLES))
     for name in TABLES if verify else ():
         df = getattr(index, name)
         told = manifest["tables"][name]

@@ -17,7 +17,8 @@ def upsert(current: I.Index, changed: DataFrame) -> I.Index:
     old = current.without(ids, purge=True)
     postings = old.postings.unionByName(fresh.postings)
     docs = old.docs.unionByName(fresh.docs, allowMissingColumns=True)
-    return I.Index(docs, postings, I.term_table(postings), I.corpus_stats(docs, postings))
+    terms = I.term_table(postings)
+    return I.Index(docs, postings, terms, I.corpus_stats(docs, terms))
 
 
 def update_index(documents: DataFrame, path: str) -> DataStreamWriter:

@@ -79,11 +79,15 @@ def test_snippet():
     assert snippet.snippet(None, "x") == "" and snippet.snippet("Compilers compiler-x compiler", "compiler") == "Compilers compiler-x <em>compiler</em>"
 
 
-def test_store(spark, ix, tmp_path):
+def test_store(spark, docs, ix, tmp_path):
     path = f"file://{tmp_path}/ix"
     store.save(ix, path)
     back = store.load(spark, path, verify=True)
     assert back.terms.count() == ix.terms.count() and ids(search.ranked(back, "compiler")) == [1, 3]
+    built = store.build(docs, f"file://{tmp_path}/built")
+    assert sorted(map(repr, built.postings.collect())) == sorted(map(repr, ix.postings.select(*built.postings.columns).collect()))
+    assert sorted(map(repr, built.stats.collect())) == sorted(map(repr, ix.stats.collect())) and {r["doc_id"]: r["word_count"] for r in built.docs.collect()} == {r["doc_id"]: r["word_count"] for r in ix.docs.collect()}
+    assert store.build(docs.where("false"), f"file://{tmp_path}/none").postings.count() == 0
     spark.createDataFrame([('{"format": "other", "version": 1}',)], "value string").write.mode("overwrite").text(f"{path}/v1/manifest")
     with pytest.raises(store.StoreError):
         store.load(spark, path)
