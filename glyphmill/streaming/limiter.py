@@ -13,10 +13,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.serving import BURST, RATE, take_token
 
 
-def limit_stream(events: DataFrame, key_col: str = "user_id", time_col: str = "ts", order_col: str = "event_id", burst: int = BURST, rate: int = RATE, idle: str | None = None) -> DataFrame:
-    """(key, request, allowed) of a stream; a key's state is one bucket, dropped
-    after a minute without requests, when it would be full again anyway."""
-    rows = events.select(F.col(key_col).cast("string").alias("key"), F.col(order_col).cast("long").alias("request"), F.unix_timestamp(time_col).alias("second"))
+def limit_stream(events: DataFrame, key_col: str = "user_id", time_col: str = "ts", order_col: str = "event_id", burst: int = BURST, rate: int = RATE, late: str = "1 minute") -> DataFrame:
+    """(key, request, allowed) of a stream, in event time.
+
+    A key's state is one bucket. It is dropped when the watermark has passed the
+    time at which it is full again, so idle keys cost nothing; requests later than
+    ``late`` are dropped.
+    """
+    timed = events.select(F.col(key_col).cast("string").alias("key"), F.col(order_col).cast("long").alias("request"), F.col(time_col).cast("timestamp").alias("ts"), F.unix_timestamp(time_col).alias("second"))
+    rows = timed.withWatermark("ts", late)
+    refill = -(-burst // rate) + 1
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -29,7 +35,7 @@ def limit_stream(events: DataFrame, key_col: str = "user_id", time_col: str = "t
             bucket, allowed = take_token(bucket, int(s), burst, rate)
             out.append(allowed)
         state.update(bucket)
-        state.setTimeoutDuration(60_000)
+        state.setTimeoutTimestamp(max((bucket[1] + refill) * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows[["key", "request"]].assign(allowed=out)
 
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, request long, allowed boolean", "tokens double, second long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, request long, allowed boolean", "tokens double, second long", "append", GroupStateTimeout.EventTimeTimeout)

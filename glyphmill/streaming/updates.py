@@ -35,4 +35,4 @@ def update_index(documents: DataFrame, path: str) -> DataStreamWriter:
 def windowed_counts(events: DataFrame, time_col: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Requests by window and type; rows later than the watermark are dropped."""
     window = F.window(time_col, width)
-    return events.withWatermark(time_col, late).groupBy(window, "event_type").agg(F.count("*").alias("n"))
+    return events.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late).groupBy(window, "event_type").agg(F.count("*").alias("n"))

@@ -155,9 +155,8 @@ def test_streamed_limiter_is_the_batch_one(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
-    q = limiter.limit_stream(stream, burst=2, rate=1).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = limiter.limit_stream(stream, burst=2, rate=1).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     got = {tuple(r) for r in spark.table("limited").collect()}
     assert got == {tuple(r) for r in serving.limit_rate(events, burst=2, rate=1).collect()} and len(got) == events.count()
 
@@ -168,8 +167,16 @@ def test_index_updates(spark, docs, ix, tmp_path):
     changed = docs.where("doc_id = 3").withColumn("body_text", F.lit("entirely new words"))
     changed.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(changed.schema).parquet(str(tmp_path / "in"))
-    q = updates.update_index(stream, path).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = updates.update_index(stream, path).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     now = store.load(spark, path, verify=True)
     assert ids(search.ranked(now, "entirely")) == [3] and ids(search.ranked(now, "compiler")) == [1] and now.stats.first()["n_docs"] == 5
+
+
+def test_windowed_counts(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    q = updates.windowed_counts(stream).writeStream.format("memory").queryName("hours").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert spark.table("hours").agg(F.sum("n")).first()[0] == events.count()
