@@ -66,8 +66,7 @@ def find(
     grams = windows(benchmark, item_id, item_text, n)
     size = grams.agg(F.sum(F.octet_length(F.array_join("words", " "))).alias("b"), F.collect_set("length").alias("l")).first()
     lengths = sorted(size["l"])
-    if (size["b"] or 0) <= BROADCAST_BYTES:
-        grams = F.broadcast(grams)
+    small = (size["b"] or 0) <= BROADCAST_BYTES
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), words(F.col(text_col)).alias("w")
     )
@@ -84,11 +83,19 @@ def find(
     else:
         k = lengths[0] if lengths else n
         spots = spots.select("row", "id", "text_key", "w", "at", F.lit(k).alias("length"), key(k).alias("key"))
+    here = F.slice("w", F.greatest(at + 1, F.lit(1)), F.col("length"))
     grams = grams.select(F.struct("length", "words").alias("gram"), F.col("key").alias("gram_key"), "items")
-    same = (F.col("key") == F.col("gram_key")) & (F.col("length") == F.col("gram.length"))
-    same &= F.slice("w", F.greatest(at + 1, F.lit(1)), F.col("length")) == F.col("gram.words")
+    sized = ["row", "id", "text_key", F.when(at == -1, F.size("w")).alias("n_words"), "at", "length", "key"]
+    if small:
+        # the words of a text are only referred to here: nothing is copied per position
+        spots, grams = spots.select(*sized, "w"), F.broadcast(grams)
+    else:
+        # rows are shuffled, each with the words of its own window
+        spots = spots.select(*sized, F.when(at >= 0, here).alias("here"))
+        here = F.col("here")
+    same = (F.col("key") == F.col("gram_key")) & (F.col("length") == F.col("gram.length")) & (here == F.col("gram.words"))
     hits = spots.join(grams, same, "left").where((at == -1) | F.col("gram").isNotNull())
-    hits = hits.select("row", "id", "text_key", F.when(at == -1, F.size("w")).alias("n_words"), F.when(at >= 0, F.struct(at.alias("start"), "length")).alias("span"), "items")
+    hits = hits.select("row", "id", "text_key", "n_words", F.when(at >= 0, F.struct(at.alias("start"), "length")).alias("span"), "items")
     found = hits.groupBy("row").agg(
         F.first("id").alias("id"), F.first("text_key").alias("text_key"), F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("items").alias("items")
     )
@@ -125,8 +132,13 @@ def remove_spans(
     text, spans = docs[text_col], F.col(f"{FOUND}.spans")
     lead = F.regexp_extract(text, f"^{RAW_SEPARATORS}+", 0)
     parts = F.regexp_extract_all(text, F.lit(f"{RAW_WORD}+{RAW_SEPARATORS}*"), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), hit_positions(spans))
-    cut = F.concat(lead, F.array_join(F.transform(kept, lambda i: F.get(parts, i)), ""))
+
+    def without_hits(p: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(p) - 1), hit_positions(spans))
+        return F.array_join(F.transform(kept, lambda i: F.get(p, i)), "")
+
+    # the array is bound once: inside the inner lambda it would be cut anew for every word
+    cut = F.concat(lead, F.array_join(F.transform(F.array(parts), without_hits), ""))
     changed = F.when(spans.isNotNull(), cut).otherwise(text)
     joined = docs.join(side, same, "left")
     if drop_items is not None:
