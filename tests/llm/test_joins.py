@@ -120,3 +120,13 @@ def test_pipeline(spark, sf):
             assert sorted(map(tuple, kept.select("doc_id", "text").collect())) == sorted(map(tuple, pii.pseudonymise(before, key=queries.PSEUDONYM_KEY).select("doc_id", "text").collect()))
     last = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in last.collect()} == {r["doc_id"] for r in kept.collect()}
+
+
+def test_scratch_is_cleared(spark):
+    from glyphmill.llm import store
+
+    held = Scratch(spark, "test").save(spark.range(3).toDF("id"), "t")
+    assert held.count() == 3
+    store.clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|not exist"):
+        spark.read.parquet(held.inputFiles()[0]).count()
