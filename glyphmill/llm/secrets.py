@@ -59,18 +59,20 @@ def candidates(docs: DataFrame, text_col: str = "text", owner_col: str = "source
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(owner_col).cast("string").alias("owner"), *(keep or []), text.alias("text"))
     t = F.col("text")
-    found = []
-    for number, (kind, pattern, group, _, _) in enumerate(KINDS):
+
+    def of_kind(number: int) -> Column:
+        kind, pattern, group, _, _ = KINDS[number]
         zipped = F.arrays_zip(F.split(t, pattern).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(t, F.lit(pattern), F.lit(group)).alias("value"))
         lean = F.transform(
             zipped,
-            lambda z, number=number: F.struct(
+            lambda z: F.struct(
                 F.lit(number).alias("kind"), F.char_length(z["gap"]).alias("gap"), F.char_length(z["all"]).alias("length"), F.char_length(z["value"]).alias("value_length"),
                 F.xxhash64(z["value"]).alias("value_key"), (z["value"].rlike("[0-9].*[0-9]") & z["value"].rlike("[A-Za-z].*[A-Za-z]")).alias("mixed"),
             ),
         )
-        none = F.slice(lean, 1, 0)
-        found.append(F.when(_possible(kind, t), lean).otherwise(none))
+        return F.when(_possible(kind, t), lean).otherwise(F.slice(lean, 1, 0))
+
+    found = [of_kind(n) for n in range(len(KINDS))]
     return rows.select("row", "owner", *(keep or []), F.concat(*found).alias("found"))
 
 
