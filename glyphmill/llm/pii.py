@@ -15,8 +15,8 @@ date   YYYY-MM-DD, DD.MM.YYYY or MM/DD/YYYY that the    the 73,049 days of 1900
        calendar has                                     to 2099
 card   13 to 19 digits, alone or in groups of four,     all digits but the last,
        whose Luhn sum is right                          which is computed anew
-phone  + and 7 to 15 digits with usual separators       the last digits, all but
-                                                        the first one to three
+phone  + and 7 to 15 digits with usual separators, or  the digits after the
+       three, three and four digits                     country code
 ssn    ddd-dd-dddd with a valid area                    all nine digits
 account 13 to 19 digits that are no card               all digits
 ====== ================================================ =========================
@@ -50,6 +50,7 @@ PATTERN = "|".join(
         r"(?<![0-9A-Za-z-])[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?(?![0-9A-Za-z])",
         r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
         r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
+        r"(?<![0-9A-Za-z(+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
     ]
 )
 #: Days of the domain of dates, and its two factors.
@@ -124,11 +125,12 @@ def luhn_sum(digits: Column, shift: int) -> Column:
 
 def refill(form: Column, digits: Column, places: str = "[0-9]") -> Column:
     """``form`` with its digits (what ``places`` takes) replaced by ``digits``, in order."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+    # the digits ride along, so that they are made once and not for every character
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"), digits.alias("digits"))
 
     def step(p: Column, c: Column) -> Column:
         is_digit = c.rlike(places)
-        return F.struct(F.concat(p["out"], F.when(is_digit, F.substring(digits, p["next"], F.lit(1))).otherwise(c)).alias("out"), (p["next"] + is_digit.cast("int")).alias("next"))
+        return F.struct(F.concat(p["out"], F.when(is_digit, F.substring(p["digits"], p["next"], F.lit(1))).otherwise(c)).alias("out"), (p["next"] + is_digit.cast("int")).alias("next"), p["digits"].alias("digits"))
 
     return F.aggregate(F.split(form, ""), start, step, lambda p: p["out"])
 
@@ -149,6 +151,7 @@ def kind_of(match: Column) -> Column:
         .when(match.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})$"), F.when(date.between("1900-01-01", "2099-12-31"), F.lit("date")))
         .when(match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(~area.isin("000", "666") & (area < "900"), F.lit("ssn")))
         .when(match.startswith("+"), F.when(F.length(digits).between(7, 15), F.lit("phone")))
+        .when(match.rlike(r"^\(?[0-9]{3}[).-] ?[0-9]{3}[.-][0-9]{4}$"), F.lit("phone"))
         .when(F.length(digits).between(13, 19) & (luhn_sum(digits, 0) % 10 == 0), F.lit("card"))
         .when(F.length(digits).between(13, 19), F.lit("account"))
     )
@@ -184,7 +187,7 @@ def _card(key: str, match: Column) -> Column:
 
 def _phone(key: str, match: Column) -> Column:
     """The country code, one to three digits up to a separator, stays."""
-    code = F.when(match.rlike(r"^\+[0-9]{1,3}[^0-9]"), F.regexp_extract(match, r"^\+([0-9]{1,3})", 1)).otherwise(F.substring(match, 2, 1))
+    code = F.when(~match.startswith("+"), "").when(match.rlike(r"^\+[0-9]{1,3}[^0-9]"), F.regexp_extract(match, r"^\+([0-9]{1,3})", 1)).otherwise(F.substring(match, 2, 1))
     rest = F.substring(_digits(match), F.length(code) + 1, F.lit(20))
     return refill(match, F.concat(code, permute_digits(key, "phone", rest)))
 
