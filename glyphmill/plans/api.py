@@ -80,7 +80,7 @@ class Api:
 
     def health(self) -> tuple[int, str]:
         n = self.index.stats.first()["n_docs"]
-        return 200, json.dumps({"status": "healthy", "version": API_VERSION, "index_loaded": True, "documents": n, "uptime_seconds": int(time.time() - self.started)})
+        return 200, json.dumps({"status": "ok", "version": API_VERSION, "index_loaded": n > 0, "documents": n, "uptime_seconds": int(time.time() - self.started)})
 
     def stats(self) -> tuple[int, str]:
         s, t = self.index.stats.first(), table_stats(self.index.terms).first()
@@ -95,7 +95,7 @@ class Api:
 
     def rebuild(self) -> tuple[int, str]:
         if self._rebuild is None or not self.building.acquire(blocking=False):
-            return _bad("BUILD_IN_PROGRESS", "An index build is already in progress", 409)
+            return _bad("INDEX_BUILD_IN_PROGRESS", "An index build is already in progress", 409)
         try:
             self.index = self._rebuild()
             self.cache.clear()
@@ -113,7 +113,7 @@ class Api:
         if method == "POST":
             return {"/index/rebuild": self.rebuild, "/cache/clear": self.clear_cache}.get(route, lambda: _bad("NOT_FOUND", "Endpoint not found", 404))()
         if route == "/":
-            return 200, json.dumps({"service": "search", "version": API_VERSION, "endpoints": ["/health", "/stats", "/search", "/suggest", "/page/:id", "/index/rebuild"]})
+            return 200, json.dumps({"service": "search", "version": API_VERSION, "status": "online", "endpoints": ["/health", "/stats", "/search?q=", "/suggest?q=", "/page/:id"]})
         if route == "/search":
             return self.search(given.get("q", ""), _integer(given.get("page", ""), 1), _integer(given.get("page_size", ""), 10), given.get("ranking", "bm25"), given.get("mode", "ranked"))
         if route == "/suggest":

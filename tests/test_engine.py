@@ -102,12 +102,35 @@ def test_api(ix):
     assert api.handle("GET", "/page/99999")[0] == 404 and api.handle("GET", "/page/0")[0] == 400 and json.loads(api.handle("GET", "/page/1")[1])["word_count"] == 10
     assert api.handle("GET", "/suggest?q=")[0] == 400 and json.loads(api.handle("GET", "/suggest?q=comp")[1])["suggestions"] == ["compiler"]
     assert api.handle("GET", "/search?q=(a")[0] == 400 and api.handle("GET", "/none")[0] == 404 and api.handle("OPTIONS", "/")[0] == 200
-    assert json.loads(api.handle("GET", "/stats")[1])["documents_indexed"] == 5 and json.loads(api.handle("GET", "/health")[1])["status"] == "healthy"
+    assert json.loads(api.handle("GET", "/stats")[1])["documents_indexed"] == 5 and json.loads(api.handle("GET", "/health")[1])["status"] == "ok"
     assert api.handle("POST", "/index/rebuild")[0] == 202
     with api.building:
         assert api.handle("POST", "/index/rebuild")[0] == 409
 
 
+def test_server(ix):
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    from glyphmill.plans.server import serve
+
+    server = serve(Api(ix), port=0, burst=3, rate=0)
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        with urlopen(f"{base}/api/v1/suggest?q=comp") as answer:
+            assert json.load(answer)["suggestions"] == ["compiler"] and answer.headers["X-RateLimit-Remaining"] == "2"
+        with pytest.raises(HTTPError) as missing:
+            urlopen(f"{base}/page/77")
+        assert missing.value.code == 404
+        urlopen(f"{base}/health").close()
+        with pytest.raises(HTTPError) as limited:
+            urlopen(f"{base}/health")
+        assert limited.value.code == 429
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
 def test_sources(spark, tmp_path):
     for i, text in ((1, "<p>one"), (51, "<p>two")):
         (tmp_path / f"page_{i}.html").write_text(text)
