@@ -290,7 +290,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page) for page in batch.column(2).to_pylist()]
+            texts = [main_text(page.as_py()) for page in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     return rows.mapInArrow(run, f"id {kinds[0]}, url {kinds[1]}, text string")

@@ -94,8 +94,8 @@ def pieces(
         encode = TokenIds(vocabulary)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                values = encode(text or "")
+            for i, text in enumerate(batch.column(1)):
+                values = encode(text.as_py() or "")
                 values.append(end_id)
                 data = np.array(values, "<u4")
                 first = len(data) % size or size

@@ -35,6 +35,8 @@ from .store import Scratch
 #: Labelled rows of a fit, hashed features, features kept, penalties.
 ROWS, BITS, KEPT = 12_000, 20, 4_096
 RIDGE, FAIRNESS, STEPS = 0.2, 1.0, 400
+#: Words that a scorer remembers at most.
+KNOWN_WORDS = 200_000
 #: Identity terms by group, lower case; one group's terms can stand for each other.
 IDENTITY_GROUPS = [
     ["women", "men"], ["woman", "man"], ["girls", "boys"], ["she", "he"], ["her", "him"], ["frauen", "männer"], ["femmes", "hommes"], ["mujeres", "hombres"],
@@ -87,7 +89,7 @@ class Model:
         known: dict[str, tuple[int, ...]] = {}
 
         def score(text: str | None) -> float:
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
             counts: dict[int, int] = {}
             for word, n in words_of(text).items():
@@ -216,7 +218,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t) for t in batch.column(1).to_pylist()], pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t.as_py()) for t in batch.column(1)], pa.float64())], ["id", "score"])
 
     return rows.mapInArrow(run, f"id {kind}, score double")
 
@@ -229,6 +231,6 @@ def remove_toxic(docs: DataFrame, model: Model, text_col: str = "text", least: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([of(t) < least for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([of(t.as_py()) < least for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
