@@ -55,9 +55,14 @@ def save(index: Index, path: str, version: int = 1, parts: int | None = None) ->
     _publish(index.docs.sparkSession, path, version)
 
 
-def build(docs: DataFrame, path: str, version: int = 1, parts: int | None = None, **options: object) -> Index:
+def build(docs: DataFrame, path: str, version: int = 1, parts: int | None = None, spread: int | None = None, **options: object) -> Index:
     """Builds the index of documents and writes it. The texts are tokenized once;
-    terms, word counts and statistics come from the written groups."""
+    terms, word counts and statistics come from the written groups.
+
+    ``spread`` deals the documents into so many partitions first, which pays for
+    inputs of a few row groups only; others are better left as they are.
+    """
+    docs = docs.repartition(spread) if spread else docs
     spark, root = docs.sparkSession, f"{path}/v{version}"
     keep_fields = bool(options.pop("keep_fields", True))
     made = grouped(tokens(docs, keep_fields), **options)
