@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import fingerprint, shingle_sets
-from .store import Scratch
+from .store import Scratch, release
 
 #: Counters of the frequency table (2**bits) and the parts they travel in.
 BITS, PARTS = 18, 16
@@ -126,6 +126,7 @@ def _summaries(n: int) -> Callable:
             [pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())],
             ["id", "size", "print", "part", "counts"],
         )
+        release()
 
     return run
 
@@ -176,6 +177,7 @@ def _prefixes(n: int, percent: int, levels: np.ndarray) -> Callable:
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(groups, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(marks, pa.binary()), pa.array(common, pa.int64())],
                 ["id", "size", "print", "group", "prefix", "marks", "common"],
             )
+        release()
 
     return run
 

@@ -6,9 +6,11 @@ table, never the tasks that made it.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +55,13 @@ def clear(spark: SparkSession) -> None:
     """Deletes all tables that this application wrote; results that have not been
     written yet can't be read after that."""
     _delete(spark, _root(spark))
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; workers
+    outlive their tasks, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -22,14 +22,19 @@ _LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
 
 
 @lru_cache(maxsize=2)
-def _encoders(path: str) -> tuple[Tokenizer, tiktoken.Encoding]:
+def _exact(path: str) -> Tokenizer:
+    """The tokenizer itself; few workers ever need it, so it is read on demand."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _fast(path: str) -> tiktoken.Encoding:
     import public_tokenizers
 
     with open(f"{os.path.splitext(path)[0]}.tiktoken", "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(path), fast
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def vocabulary_path(name: str) -> str:
@@ -45,9 +50,10 @@ class TokenIds:
     """Callable text -> list of ids for a vocabulary's name or path."""
 
     def __init__(self, vocabulary: str):
-        self.exact, self.fast = _encoders(vocabulary_path(vocabulary))
+        self.path = vocabulary_path(vocabulary)
+        self.fast = _fast(self.path)
 
     def __call__(self, text: str) -> list[int]:
         if SPECIAL in text or _LONG_RUN.search(text):
-            return self.exact.encode(text, add_special_tokens=False).ids
+            return _exact(self.path).encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sample
-from .store import Scratch
+from .store import Scratch, release
 
 #: Labelled rows of a fit, hashed features, features kept, penalties.
 ROWS, BITS, KEPT = 12_000, 20, 4_096
@@ -232,5 +232,7 @@ def remove_toxic(docs: DataFrame, model: Model, text_col: str = "text", least: f
         of = model.scorer()
         for batch in batches:
             yield batch.filter(pa.array([of(t.as_py()) < least for t in batch.column(at)], pa.bool_()))
+        del of
+        release()
 
     return docs.mapInArrow(run, docs.schema)
