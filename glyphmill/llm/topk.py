@@ -80,15 +80,16 @@ def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.n
         bound = (q_sq[n] + v_sq - low**2) / 2
         bound += 1e-9 * (q_sq[n] + v_sq) + 0.5
         own = ids == q_ids[n]
-        bound[own] = -np.inf
-        left = len(ids) - int(own.sum())
+        rest = np.flatnonzero(~own)
         top_scores, top_ids = np.empty(0, "i8"), np.empty(0, "i8")
-        done, width, order = 0, STEP, None
-        while done < left:
-            if order is None or done >= len(order):
-                width = min(left, width * 8)
-                order = np.argpartition(-bound, width - 1)[:width] if width < len(ids) else np.arange(len(ids))
-                order = order[np.argsort(-bound[order], kind="stable")][:left]
+        done, width, order = 0, STEP, rest[:0]
+        while done < len(order) or len(rest):
+            if done >= len(order):
+                # all rows from the bound at place ``width`` on, equal ones included, leave the rest: each is evaluated once
+                width = min(len(rest), width * 8)
+                near = bound[rest] >= -np.partition(-bound[rest], width - 1)[width - 1]
+                order, rest, done = rest[near], rest[~near], 0
+                order = order[np.argsort(-bound[order], kind="stable")]
             if len(top_scores) >= k and bound[order[done]] < top_scores[k - 1]:
                 break
             take = order[done : done + STEP]

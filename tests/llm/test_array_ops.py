@@ -42,6 +42,20 @@ def test_topk_cases(spark):
     assert topk.top_k(df.where("false"), F.col("id") % 5 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2_300, 2_730, 5_000])
+def test_topk_with_many_equal_bounds(copies):
+    rng = np.random.default_rng(copies)
+    rows = np.where(np.arange(8_192)[:, None] < copies, [[900, 5, -3]], rng.integers(-250, 250, (8_192, 3)))
+    ids = rng.permutation(8_192) + 1
+    order = rng.permutation(8_192)
+    rows, ids = rows[order], ids[order]
+    q_ids, q = np.array([0, ids[np.flatnonzero(rows[:, 0] == 900)[7]]]), np.array([[100, 0, 0], [900, 5, -3]])
+    for k in (5, 2_200):
+        got = sorted(topk.best_of_blocks(q_ids, q, ids, rows, rows[:4].astype("f8"), k))
+        expected = [(i, int(ids[n]), int(rows[n] @ v)) for i, v in zip(q_ids.tolist(), q) for n in [n for n in np.lexsort((ids, -(rows @ v))) if ids[n] != i][:k]]
+        assert got == sorted(expected)
+
+
 def test_op3_on_a_whole_table(spark, sf):
     pages = [(r["page_id"], r["html"] or "") for r in queries.table(spark, sf, "pages").collect()]
     first = {}
