@@ -8,7 +8,8 @@ next stage's documents. All but the last return the columns of ``documents``.
 stage                decision
 ==================== ==========================================================
 toxicity             rows that the classifier scores 0.5 or more go
-ngram_jaccard        of each group of near copies the smallest doc_id stays
+ngram_jaccard        of each group of near copies (0.8 of the shingles of five
+                     words, or more) the smallest doc_id stays
 decontamination      rows with windows of two benchmark items go; from rows
                      with those of one item the hit words are cut
 pii                  personal data become format-preserving pseudonyms
@@ -36,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, n=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,6 +122,18 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in last.collect()} == {r["doc_id"] for r in kept.collect()}
 
 
+def test_near_copies_of_the_pipeline(spark, sf):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(100)]
+    between = [*base[:30], "x", *base[31:60], "y", *base[61:]]
+    rows = [(1, " ".join(base)), (2, " ".join(between)), (3, " ".join(base[:79] + ["z"] * 21)), *((i + 10, t) for i, t in near_copies(5, members=12) if i is not None)]
+    assert {i for i, _, c in brute(rows[:2]) if i == c} == {1, 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
+    assert kept == sorted({i for i, _, c in brute(rows, n=5, percent=80) if i == c or c is None}) and 2 not in kept
+
+
 def test_scratch_is_cleared(spark):
     from glyphmill.llm import store
 
