@@ -378,6 +378,12 @@ def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("term", T.bounded_levenshtein(F.col("term"), F.lit("thanea"), 2).alias("edits"))
 
 
+@query()
+def levenshtein_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edit distances of all terms, in characters; no SQL here counts these."""
+    return text_index(spark, sf_dir).terms.select("term", T.bounded_levenshtein(F.col("term"), F.lit("thanea"), 2).alias("edits"))
+
+
 # --- client and serving -----------------------------------------------------
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from glyphmill.queries import ORACLES, QUERIES
+from glyphmill.queries import ORACLES, QUERIES, text_index
 from tests.oracle import both
 
 
@@ -15,6 +15,21 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edits_of_all_terms(spark, sf):
+    terms = {r["term"] for r in text_index(spark, sf).terms.select("term").collect()}
+    assert any(not t.isascii() for t in terms)
+    assert {tuple(r) for r in QUERIES["levenshtein_all_terms"](spark, sf).collect()} == {(t, min(edits(t, "thanea"), 3)) for t in terms}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
