@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -113,6 +114,12 @@ def blocks_of(page: str) -> list[Block]:
     stack, out = [root], []
     text: list[str] = []
     linked, in_link = 0, 0
+    #: Open elements by tag, so that no end tag searches a deep stack in vain.
+    opened: Counter[str] = Counter()
+
+    def leave(k: int) -> None:
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
 
     def flush() -> None:
         nonlocal linked
@@ -142,10 +149,10 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "a":
                 in_link = max(0, in_link - 1)
             elif tag in BLOCK_TAGS:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if opened[tag] else 0
                 flush()
                 if k:
-                    del stack[k:]
+                    leave(k)
                     in_link = 0
             continue
         if tag == "br":
@@ -164,16 +171,19 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             flush()
             if tag == "body":
-                while len(stack) > 1 and stack[-1].tag == "head":
-                    stack.pop()
+                k = len(stack)
+                while k > 1 and stack[k - 1].tag == "head":
+                    k -= 1
+                leave(k)
             for i in range(len(stack) - 1, max(0, len(stack) - 8), -1):
                 if tag in CLOSES.get(stack[i].tag, ()):
-                    del stack[i:]
+                    leave(i)
                     break
                 if stack[i].tag in ("ul", "ol", "dl", "table", "article", "section", "div", "td", "th") and stack[i].tag not in CLOSES:
                     break
-            if tag not in VOID_TAGS and len(stack) < 500:
+            if tag not in VOID_TAGS:
                 stack.append(open_element(tag, rest, stack[-1] if len(stack) > 1 else None))
+                opened[tag] += 1
     flush()
     return out
 

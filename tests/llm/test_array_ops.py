@@ -170,6 +170,13 @@ def test_html_cases(spark):
     assert htmltext.extract(df).count() == len(pages) and htmltext.extract(df.where("false")).count() == 0
 
 
+def test_elements_beyond_any_depth():
+    deep = "<article>" + "<div>" * 700 + "<div class=comments><p>I like it.</p></div><p>Text of the page.</p>" + "</div>" * 700 + "<p>More text.</p></article><nav>Menu</nav>"
+    found = [(b.text, b.element.content, b.element.boilerplate) for b in htmltext.blocks_of(deep)]
+    assert found == [("I like it.", True, True), ("Text of the page.", True, False), ("More text.", True, False), ("Menu", False, True)]
+    assert len(htmltext.blocks_of("<article><p>" + "<div>x</p></span>" * 50_000 + "</article>" + "</div>" * 50_000)) == 50_000
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(30):
