@@ -37,8 +37,9 @@ def test_topk_cases(spark):
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5]) for _ in range(6)]) for i in range(90)]
     rows += [(90, None), (None, [1.0] * 6), (92, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (93, [float("nan")] * 6), (94, [float("inf")] * 6), (95, [1.0]), (96, [2.0]), (97, [1e6] * 6)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, v int")
-    got = {tuple(r) for r in topk.top_k(df, F.col("id") % 5 == 0, query_block=4, row_block=16, pivots=3).collect()}
-    assert got == brute_top(rows, lambda i: i % 5 == 0, 5)
+    for query_bytes in (1_000, 1 << 20):
+        got = topk.top_k(df, F.col("id") % 5 == 0, query_bytes=query_bytes, row_block=16, pivots=3).collect()
+        assert {tuple(r) for r in got} == brute_top(rows, lambda i: i % 5 == 0, 5) and len(got) == len(set(got))
     assert topk.top_k(df.where("false"), F.col("id") % 5 == 0).count() == 0
 
 
@@ -50,10 +51,45 @@ def test_topk_with_many_equal_bounds(copies):
     order = rng.permutation(8_192)
     rows, ids = rows[order], ids[order]
     q_ids, q = np.array([0, ids[np.flatnonzero(rows[:, 0] == 900)[7]]]), np.array([[100, 0, 0], [900, 5, -3]])
+    pivots = rows[:4].astype("f8")
     for k in (5, 2_200):
-        got = sorted(topk.best_of_blocks(q_ids, q, ids, rows, rows[:4].astype("f8"), k))
         expected = [(i, int(ids[n]), int(rows[n] @ v)) for i, v in zip(q_ids.tolist(), q) for n in [n for n in np.lexsort((ids, -(rows @ v))) if ids[n] != i][:k]]
-        assert got == sorted(expected)
+        for block in (1_000, 8_192):
+            asked = topk.Queries(q_ids, q, topk.distances(q, pivots), np.full(2, -np.inf), k)
+            for at in range(0, len(ids), block):
+                asked.search(ids[at : at + block], rows[at : at + block], topk.distances(rows[at : at + block], pivots))
+            assert sorted(asked.result()) == sorted(expected)
+
+
+def test_topk_of_a_table_with_many_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = np.where(np.arange(6_000)[:, None] % 2 == 0, [[0.75, -0.5, 0.25, 1.0]], rng.normal(size=(6_000, 4)).round(3))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("id") % 50 == 0, row_block=500).collect()]
+    whole = np.floor(256 * rows).astype("i8")
+    expected = []
+    for q in range(0, 6_000, 50):
+        scores = whole @ whole[q]
+        best = [i for i in np.lexsort((np.arange(6_000), -scores)) if i != q][:5]
+        expected += [(q, r + 1, int(i), int(scores[i])) for r, i in enumerate(best)]
+    assert sorted(got) == expected and len({(q, v) for q, _, v, _ in got}) == len(got)
+
+
+def test_pivots_rule_out_most_of_a_clustered_table():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 400
+    rows = np.rint(centres[np.arange(8_000) % 40] + rng.normal(size=(8_000, 16)) * 20).astype("i8")
+    rows = np.rint(rows / np.linalg.norm(rows, axis=1, keepdims=True) * 1_000).astype("i8")
+    pivots = topk.choose_pivots(rows[:2_000], 32)
+    far = topk.distances(rows, pivots)
+    order = np.lexsort((far[:, 1:].min(axis=1), far[:, 1:].argmin(axis=1)))
+    asked = topk.Queries(np.arange(100), rows[:100], far[:100], np.full(100, -np.inf), 5)
+    for at in range(0, 8_000, 500):
+        some = order[at : at + 500]
+        asked.search(some, rows[some], far[some])
+    assert asked.evaluated < 0.2 * asked.met
+    expected = {(q, int(i), int(rows[q] @ rows[i])) for q in range(100) for i in [i for i in np.lexsort((np.arange(8_000), -(rows @ rows[q]))) if i != q][:5]}
+    assert set(asked.result()) == expected
 
 
 def test_op3_on_a_whole_table(spark, sf):
