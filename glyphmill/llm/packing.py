@@ -1,55 +1,63 @@
 """Best-fit packing of token pieces into sequences of a fixed length.
 
-Method: bounded-space online best-fit. A packer holds at most ``open_bins``
-unfinished sequences. They are kept in a bitset keyed by free space, so the
-tightest sequence that takes a piece is one shift and one lowest-bit search
-away. When a new sequence would exceed the bound, the fullest one closes.
-
-Pieces are dealt into buckets of about ``bucket_rows`` pieces by a hash of the
-row; every bucket is packed on its own, so memory is bounded by the bucket and
-the packing of a bucket is the same whenever it is computed again. Inside a
-bucket long pieces come first, which leaves the short ones to fill gaps.
+Method: bounded-space online best-fit. A packer takes pieces one after another
+and holds at most ``open_bins`` unfinished sequences. They are kept in a bitset
+keyed by free space, so the tightest sequence that takes a piece is one shift and
+one lowest-bit search away. When a new sequence would exceed the bound, the
+fullest one closes. A piece is placed when it comes and never moved, so a packer's
+memory is the bound, however many pieces stream through it.
+
+Every row of pieces gets a number of its own, its seat. A hash of the seat deals
+pieces to the packers of about ``bucket_rows`` pieces each and gives their order
+there, so neither sorted tables nor repeated rows make unlike packers. The pieces
+are a written table: a packing that is computed again is the same. A sequence is
+named by the seat of its first piece.
 
 Defined cases: a null or empty text is the end id alone; a repeated row is packed
-once per repetition; ties in length are taken in (id, piece) order; an empty
-table gives an empty result; columns other than the id and the text are ignored.
+once per repetition; a null id is an id; very long texts are cut into pieces like
+all others; pieces of equal length are taken in the order of their hashes; an
+empty table gives an empty result; columns other than the id and the text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
 from .tokens import TokenIds
 
-#: Rows of a bucket and unfinished sequences of a packer.
-BUCKET_ROWS, OPEN_BINS = 32_768, 16_384
+#: Pieces of a packer and its unfinished sequences.
+BUCKET_ROWS, OPEN_BINS = 65_536, 64
 
 
 class BestFit:
-    """Bounded-space best-fit over bins of ``size``; ``add`` gives (bin, offset)."""
+    """Bounded-space best-fit over bins of ``size``; ``add`` gives (bin, offset).
+    A bin has the name that came with its first piece, or its number."""
 
     def __init__(self, size: int, open_bins: int):
         self.size, self.limit = size, open_bins
         self.free: list[list[int]] = [[] for _ in range(size + 1)]
         self.mask = 0
-        self.open = self.made = 0
+        self.open = self.made = self.closed = 0
 
-    def add(self, length: int) -> tuple[int, int]:
+    def add(self, length: int, name: int | None = None) -> tuple[int, int]:
         above = self.mask >> length
         if above:
             room = length + (above & -above).bit_length() - 1
             at = self._take(room)
         else:
-            if self.open >= self.limit:
+            if self.open >= self.limit and length < self.size:
+                # the least free space that any bin has: the fullest one closes
                 self._take((self.mask & -self.mask).bit_length() - 1)
-            at, room = self.made, self.size
+                self.closed += 1
+            at, room = self.made if name is None else name, self.size
             self.made += 1
         if room > length:
             self._put(at, room - length)
@@ -71,13 +79,6 @@ class BestFit:
         self.open += 1
 
 
-def pack_lengths(lengths: Iterable[int], size: int, open_bins: int) -> tuple[list[int], list[int]]:
-    """Sequence numbers and offsets of pieces taken in the given order."""
-    packer = BestFit(size, open_bins)
-    placed = [packer.add(n) for n in lengths]
-    return [a for a, _ in placed], [b for _, b in placed]
-
-
 def pieces(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str, size: int = 2048, end_id: int = 0, keep_ids: bool = False
 ) -> DataFrame:
@@ -95,9 +96,7 @@ def pieces(
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                values = encode(text.as_py() or "")
-                values.append(end_id)
-                data = np.array(values, "<u4")
+                data = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 first = len(data) % size or size
                 bounds = [0, *range(first, len(data) + 1, size)]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
@@ -114,34 +113,38 @@ def pieces(
     return rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-def pack(
-    cut: DataFrame, rows: int, *, size: int = 2048, bucket_rows: int = BUCKET_ROWS, open_bins: int = OPEN_BINS
-) -> DataFrame:
-    """Adds sequence_id and offset to the ``rows`` pieces that ``cut`` holds."""
-    buckets = max(1, -(-rows // bucket_rows))
-    names = cut.columns
+def _place(size: int, open_bins: int) -> Callable:
+    """Adds sequence_id and offset to the pieces of a task, in their order."""
 
-    def place(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending")])
-        at, offset = pack_lengths(table["length"].to_pylist(), size, open_bins)
-        ids = np.array(at, "i8") * buckets + key[0].as_py()
-        return table.select(names).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = BestFit(size, open_bins)
+        for batch in batches:
+            placed = [packer.add(length, seat) for length, seat in zip(batch.column("length").to_pylist(), batch.column("seat").to_pylist())]
+            at, offset = [p[0] for p in placed], [p[1] for p in placed]
+            columns = [batch.column(c) for c in batch.schema.names if c != "seat"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(at, pa.int64()), pa.array(offset, pa.int64())], [*(c for c in batch.schema.names if c != "seat"), "sequence_id", "offset"])
+
+    return run
 
-    def bucket() -> Column:
-        return F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)).alias("bucket")
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return cut.withColumn("bucket", bucket()).groupBy("bucket").applyInArrow(place, schema + ", sequence_id long, offset long")
+def pack(cut: DataFrame, rows: int, *, size: int = 2048, bucket_rows: int = BUCKET_ROWS, open_bins: int = OPEN_BINS) -> DataFrame:
+    """Adds sequence_id and offset to the ``rows`` pieces that ``cut`` holds, each
+    with its seat."""
+    dealt = cut.repartition(max(1, -(-rows // bucket_rows)), "seat").sortWithinPartitions(F.xxhash64("seat"), "seat")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name != "seat")
+    return dealt.mapInArrow(_place(size, open_bins), schema + ", sequence_id long, offset long")
 
 
 def pack_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str, size: int = 2048, end_id: int = 0, keep_ids: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str, size: int = 2048, end_id: int = 0, keep_ids: bool = False,
+    bucket_rows: int = BUCKET_ROWS, open_bins: int = OPEN_BINS,
 ) -> DataFrame:
     """Pieces of all texts with their place: id, piece, start, length, ids_crc32,
     (ids,) sequence_id, offset. Texts are tokenised once, into a written table."""
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = scratch.save(pieces(docs, id_col, text_col, vocabulary=vocabulary, size=size, end_id=end_id, keep_ids=keep_ids), "pieces")
-    return pack(cut, cut.count(), size=size)
+    found = pieces(docs, id_col, text_col, vocabulary=vocabulary, size=size, end_id=end_id, keep_ids=keep_ids)
+    cut = scratch.save(found.withColumn("seat", F.monotonically_increasing_id()), "pieces")
+    return pack(cut, cut.count(), size=size, bucket_rows=bucket_rows, open_bins=open_bins)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -47,13 +48,13 @@ def vocabulary_path(name: str) -> str:
 
 
 class TokenIds:
-    """Callable text -> list of ids for a vocabulary's name or path."""
+    """Callable text -> array of ids for a vocabulary's name or path."""
 
     def __init__(self, vocabulary: str):
         self.path = vocabulary_path(vocabulary)
         self.fast = _fast(self.path)
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> np.ndarray:
         if SPECIAL in text or _LONG_RUN.search(text):
-            return _exact(self.path).encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+            return np.array(_exact(self.path).encode(text, add_special_tokens=False).ids, "u4")
+        return self.fast.encode_to_numpy(text, disallowed_special=())

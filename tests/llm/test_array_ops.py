@@ -146,6 +146,15 @@ def test_ids_are_the_tokenizers(text):
     assert [*tokens.TokenIds(VOCABULARY)(text), 0] == encode(text)
 
 
+def test_ids_are_the_tokenizers_for_every_code_point():
+    exact, fast = Tokenizer.from_file(tokens.vocabulary_path(VOCABULARY)), tokens.TokenIds(VOCABULARY)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    for before, after in (("", ""), ("a", ""), (" ", "a"), ("1", "\n")):
+        texts = [" x".join(before + c + after for c in points[k : k + 256]) for k in range(0, len(points), 256)]
+        for text, found in zip(texts, exact.encode_batch(texts, add_special_tokens=False)):
+            assert found.ids == fast(text).tolist(), text
+
+
 def check_packing(rows, docs, size):
     places = {}
     by_doc = {}
@@ -184,6 +193,26 @@ def test_packing_cases(spark):
     assert packing.pack_documents(df.where("false"), vocabulary=VOCABULARY).count() == 0
 
 
+def test_packing_of_one_row_repeated_and_of_sorted_lengths(spark):
+    same = spark.range(4_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    packed = packing.pack_documents(same, vocabulary=VOCABULARY, size=8, bucket_rows=500)
+    assert packed.rdd.getNumPartitions() == 8 and max(packed.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 1_000
+    assert 2_000 <= check_packing(packed.collect(), [(7, "a b c")], 8) <= 2_008  # one half-filled sequence a packer
+    rising = spark.range(1, 2_001).select("id", F.array_join(F.array_repeat(F.lit("x"), F.col("id").cast("int") // 10), " ").alias("text"))
+    rows = packing.pack_documents(rising, "id", vocabulary=VOCABULARY, size=256, open_bins=8).collect()
+    assert len({r["sequence_id"] for r in rows}) <= 1.08 * sum(r["length"] for r in rows) / 256
+
+
+def test_the_open_bins_close_in_the_query():
+    rng = random.Random(4)
+    packer = packing.BestFit(2_048, packing.OPEN_BINS)
+    lengths = [min(2_048, int(rng.lognormvariate(6.4, 0.9)) + 1) for _ in range(packing.BUCKET_ROWS)]
+    for n in lengths:
+        packer.add(n)
+        assert packer.open <= packing.OPEN_BINS
+    assert packer.closed and packer.made <= 1.02 * sum(lengths) / 2_048
+
+
 def test_bounded_space():
     packer = packing.BestFit(100, 2)
     assert [packer.add(n) for n in (60, 70, 30, 40, 50)] == [(0, 0), (1, 0), (1, 70), (0, 60), (2, 0)]
