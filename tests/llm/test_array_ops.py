@@ -198,7 +198,7 @@ def test_packing_of_one_row_repeated_and_of_sorted_lengths(spark):
     packed = packing.pack_documents(same, vocabulary=VOCABULARY, size=8, bucket_rows=500)
     assert packed.rdd.getNumPartitions() == 8 and max(packed.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 1_000
     assert 2_000 <= check_packing(packed.collect(), [(7, "a b c")], 8) <= 2_008  # one half-filled sequence a packer
-    rising = spark.range(1, 2_001).select("id", F.array_join(F.array_repeat(F.lit("x"), F.col("id").cast("int") // 10), " ").alias("text"))
+    rising = spark.range(1, 2_001).select("id", F.array_join(F.array_repeat(F.lit("x"), (F.col("id") / 10).cast("int")), " ").alias("text"))
     rows = packing.pack_documents(rising, "id", vocabulary=VOCABULARY, size=256, open_bins=8).collect()
     assert len({r["sequence_id"] for r in rows}) <= 1.08 * sum(r["length"] for r in rows) / 256
 
