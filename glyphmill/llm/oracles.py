@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .secrets import KINDS, MOST_OWNERS
-
 _FOLD = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -46,11 +44,21 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.doc_id,
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = d.doc_id) AS component_id FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
 
 
+#: kind, pattern, group of the value, least code points of the value, is it base.
+_SECRETS = [
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
+    ("access", "AKIA[A-Z0-9]+", 0, 18, True),
+    ("hex", "[0-9a-f]+", 0, 16, True),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, False),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, False),
+    ("opaque", r"\b[A-Za-z0-9_]{32,}", 0, 32, False),
+]
+
+
 def _op9() -> str:
     parts = []
-    for rank, (kind, pattern, group, least, base) in enumerate(KINDS):
-        # RE2 has no look-behind; a word boundary is the same before a word
-        sql = pattern.replace("(?<![A-Za-z0-9_])", "\\b").replace("'", "''")
+    for rank, (kind, pattern, group, least, base) in enumerate(_SECRETS):
+        sql = pattern.replace("'", "''")
         parts.append(f"SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, {least} AS least, {str(base).lower()} AS base, regexp_split_to_array(text, '{sql}') AS gaps, regexp_extract_all(text, '{sql}') AS found, regexp_extract_all(text, '{sql}', {group}) AS values_ FROM docs")
     union = " UNION ALL ".join(parts)
     return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents), kinds AS ({union}),
@@ -59,10 +67,10 @@ placed AS (SELECT doc_id, source, rank, kind, base, values_[k] AS v, length(foun
 valid AS (SELECT doc_id, source, rank, kind, base, v, CAST(stop - size AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed
   WHERE length(v) >= least AND (kind <> 'opaque' OR (regexp_matches(v, '[0-9].*[0-9]') AND regexp_matches(v, '[A-Za-z].*[A-Za-z]')))),
 free AS (SELECT * FROM valid a WHERE base OR NOT EXISTS (SELECT 1 FROM valid b WHERE b.base AND b.doc_id = a.doc_id AND b.start < a.stop AND a.start < b.stop)),
-owners AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM free GROUP BY v),
-spans AS (SELECT f.*, n_owners, kind || ':' || start || ':' || stop AS told FROM free f JOIN owners USING (v) WHERE base OR n_owners <= {MOST_OWNERS})
+holders AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) <= 2 AND count(DISTINCT doc_id) <= 8 AS live FROM free GROUP BY v),
+spans AS (SELECT f.*, live, kind || ':' || start || ':' || stop AS told FROM free f JOIN holders USING (v) WHERE base OR live)
 SELECT d.doc_id, count(told) FILTER (WHERE kind = 'assign') AS n_assign, count(told) FILTER (WHERE kind = 'access') AS n_access, count(told) FILTER (WHERE kind = 'hex') AS n_hex,
-  sha256(coalesce(string_agg(told, ',' ORDER BY start, rank) FILTER (WHERE base), '')) AS base_sha256, coalesce(string_agg(told, ',' ORDER BY start, rank), '') AS spans, count(told) FILTER (WHERE n_owners <= {MOST_OWNERS}) AS n_live
+  sha256(coalesce(string_agg(told, ',' ORDER BY start, rank) FILTER (WHERE base), '')) AS base_sha256, coalesce(string_agg(told, ',' ORDER BY start, rank), '') AS spans, count(told) FILTER (WHERE live) AS n_live
 FROM docs d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 

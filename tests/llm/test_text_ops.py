@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontam, pii, queries, secrets
+from tests.oracle import both
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -104,6 +105,22 @@ def test_secret_cases(spark):
     assert secrets.scan(docs.where("false")).count() == 0
 
 
+def test_holders_of_values(spark):
+    key = "Qw1Er2Ty3Ui4Op5As6Df7Gh8Jk9Lz0Xc1"
+    rows = [(i, f"é {key}a", "hot", f"r{i}") for i in range(9)] + [(i, f"{key}b", "hot", "r1") for i in range(20, 29)] + [(40, f"{key}c", None, "r1"), (41, f"{key}c", None, None), (41, f"{key}c", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    held = lambda **o: {r["id"]: [(s["start"], s["kind"], s["n_owners"], s["n_repos"], s["live"]) for s in r["spans"]] for r in secrets.scan(docs, owner_col="owner", **o).collect()}
+    by_repo, by_document = held(repo_col="repo"), held()
+    assert by_repo[0] == by_document[0] == by_document[20] == []  # in nine repositories or documents: a copied example
+    assert by_repo[20] == [(0, "opaque", 1, 1, True)] and by_repo[41] == [(0, "opaque", 1, 2, True)] == by_document[40]
+    assert held(repo_col="repo", most_repos=9)[0] == [(2, "opaque", 1, 9, True)] and held(repo_col="repo", most_owners=0)[20] == []
+
+
+def test_op9_has_the_rows_of_its_sql(spark, sf):
+    ours, theirs = both(spark, sf, queries.op9_secrets, queries.ORACLES["op9_secrets"])
+    assert ours == theirs and any(r for r in ours)
+
+
 def test_op9_on_a_whole_table(spark, sf):
     docs = {r["doc_id"]: base_spans(r["text"]) for r in queries.table(spark, sf, "documents").collect()}
     for r in queries.op9_secrets(spark, sf).collect():
