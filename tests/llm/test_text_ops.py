@@ -1,6 +1,8 @@
 """Decontamination, secrets and PII against plain Python."""
 
+import datetime
 import hashlib
+import random
 import re
 
 import pytest
@@ -148,10 +150,88 @@ def feistel(kind, left, right, a, b):
     return left, right
 
 
-def permute(kind, digits):
+def permute(kind, digits, check=1, rest=0):
     n = len(digits) // 2
-    left, right = feistel(f"{kind}{len(digits)}", int(digits[:n]), int(digits[n:]), 10**n, 10 ** (len(digits) - n))
-    return f"{left:0{n}d}{right:0{len(digits) - n}d}"
+    left, right = feistel(f"{kind}{len(digits)}", int(digits[:n] or 0), int(digits[n:]) * check + rest, 10**n, 10 ** (len(digits) - n) * check)
+    made = f"{left:0{n}d}" * (n > 0) + f"{right // check:0{len(digits) - n}d}"
+    return (made, right % check) if check > 1 else made
+
+
+def word(text):
+    alphabet = "0123456789abcdefghijklmnopqrstuvwxyz"
+    left, right = text[: len(text) // 2], text[len(text) // 2 :]
+    for turn in range(pii.ROUNDS):
+        digest = hashlib.sha256("|".join([KEY, "email", str(turn), right if turn % 2 == 0 else left]).encode()).digest()
+        moved = "".join(alphabet[(alphabet.index(c) + d) % 36] for c, d in zip(left if turn % 2 == 0 else right, digest))
+        left, right = (moved, right) if turn % 2 == 0 else (left, moved)
+    return left + right
+
+
+def check_digit(payload):
+    return next(d for d in range(10) if luhn(f"{payload}{d}"))
+
+
+def account(digits):
+    made, off = permute("account", digits[:-1], 9, (int(digits[-1]) - check_digit(digits[:-1])) % 10 - 1)
+    return f"{made}{(check_digit(made) + 1 + off) % 10}"
+
+
+def ssn(digits):
+    area = int(digits[:3])
+    left, right = feistel("ssn", area - 1 - (area > 666), int(digits[3:]), 898, 10**6)
+    return f"{left + 1 + (left >= 665):03d}{right:06d}"
+
+
+def put(form, chars, places="[0-9]"):
+    left = iter(chars)
+    return re.sub(places, lambda m: next(left), form)
+
+
+def day(text, form):
+    try:
+        return datetime.datetime.strptime(text, form).date()
+    except ValueError:
+        return None
+
+
+def kind_of(m):
+    digits = re.sub("[^0-9]", "", m)
+    if "@" in m:
+        return "email"
+    if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", m):
+        return "ipv4" if all(int(o) < 256 for o in m.split(".")) else None
+    if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}", m):
+        return "date" if any((d := day(m, f)) and 1900 <= d.year < 2100 for f in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y")) else None
+    if re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", m):
+        return "ssn" if digits[:3] not in ("000", "666") and digits[:3] < "900" else None
+    if m.startswith("+"):
+        return "phone" if 7 <= len(digits) <= 15 else None
+    if re.fullmatch(r"\(?[0-9]{3}[).-] ?[0-9]{3}[.-][0-9]{4}", m):
+        return "phone"
+    return ("card" if luhn(digits) else "account") if 13 <= len(digits) <= 19 else None
+
+
+def pseudonym(m):
+    kind, digits = kind_of(m), re.sub("[^0-9]", "", m)
+    if kind == "email":
+        local, domain = m.split("@")
+        return put(local, word(re.sub("[^a-z0-9]", "", local.lower())), "[A-Za-z0-9]") + "@" + domain
+    if kind == "ipv4":
+        o = [int(x) for x in m.split(".")]
+        left, right = feistel("ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if kind == "date":
+        form = "%Y-%m-%d" if m[4] == "-" else "%d.%m.%Y" if m[2] == "." else "%m/%d/%Y"
+        n = (day(m, form) - datetime.date(1900, 1, 1)).days
+        left, right = feistel("date", n // pii.MANY, n % pii.MANY, pii.FEW, pii.MANY)
+        return (datetime.date(1900, 1, 1) + datetime.timedelta(left * pii.MANY + right)).strftime(form)
+    if kind == "card":
+        made = permute("card", digits[:-1])
+        return put(m, f"{made}{check_digit(made)}")
+    if kind == "phone":
+        code = "" if m[0] != "+" else g[1] if (g := re.match(r"\+([0-9]{1,3})[^0-9]", m)) else m[1]
+        return put(m, code + permute("phone", digits[len(code) :]))
+    return {"ssn": lambda: put(m, ssn(digits)), "account": lambda: put(m, account(digits))}.get(kind, lambda: m)()
 
 
 def luhn(digits):
@@ -178,27 +258,61 @@ def test_pii_cases(spark):
     plain, spaced = re.fullmatch(r"card (\d{16}) or (\d{4} \d{4} \d{4} \d{4})", new[3]).groups()
     assert luhn(plain) and plain == spaced.replace(" ", "") and plain[:15] == permute("card", "411111111111111")
     assert new[9] == f"{plain} " * 3_000
-    assert new[4] == f"acct {permute('account', '1234567890123456')}, call +1 ({(p := permute('phone', '0175557713'))[:3]}) {p[3:6]}-{p[6:]}!"
+    assert new[4] == f"acct {account('1234567890123456')}, call +1 ({(p := permute('phone', '0175557713'))[:3]}) {p[3:6]}-{p[6:]}!"
     p = permute("phone", "5551234567")
     assert new[11] == f"({p[:3]}) {p[3:6]}-{p[6:]} or {p[:3]}.{p[3:6]}.{p[6:]}, not 555-123-45678"
-    ssn = permute("ssn", "123456789")
-    assert new[5] == f"ssn {ssn[:3]}-{ssn[3:5]}-{ssn[5:]} not 000-45-6789"
+    s = ssn("123456789")
+    assert new[5] == f"ssn {s[:3]}-{s[3:5]}-{s[5:]} not 000-45-6789"
+    assert all(new[i] == re.sub(pii.PATTERN, lambda m: pseudonym(m[0]), t) for i, t in enumerate(TEXTS) if t)
     assert pii.pseudonymise(docs.where("false"), key=KEY).count() == 0
 
 
 def test_feistel_permutes(spark):
-    few = spark.range(1000).select(pii.permute_digits(KEY, "t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("p"))
+    few = pii.keyed(spark.range(1000), KEY).select(pii.permute_digits("t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("p"))
     assert few.distinct().count() == 1000 and few.where("length(p) != 3").count() == 0
-    days = spark.range(pii.DAYS).select(pii.feistel(KEY, "date", F.floor(F.col("id") / pii.MANY), F.col("id") % pii.MANY, F.lit(pii.FEW), F.lit(pii.MANY)).alias("p"))
+    days = pii.keyed(spark.range(pii.DAYS), KEY).select(pii.feistel("date", F.floor(F.col("id") / pii.MANY), F.col("id") % pii.MANY, F.lit(pii.FEW), F.lit(pii.MANY)).alias("p"))
     assert days.distinct().count() == pii.DAYS and pii.FEW * pii.MANY == pii.DAYS
-
-
-def test_op6_on_a_whole_table(spark, sf):
+    pairs = pii.keyed(spark.range(36 * 36), KEY).select(pii.permute_word("t", F.lpad(F.lower(F.conv(F.col("id").cast("string"), 10, 36)), 2, "0")).alias("p"))
+    assert pairs.distinct().count() == 36 * 36 and pairs.where("p not rlike '^[a-z0-9]{2}$'").count() == 0
+
+
+def test_pseudonyms_stay_within_their_kind(spark):
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    old = [digits(rng.randint(13, 19)) for _ in range(1_500)] + [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(1_500)] + [f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}" for _ in range(200)]
+    old += [f"+{digits(rng.randint(1, 3))} {digits(3)} {digits(4)}" for _ in range(200)] + [f"{''.join(rng.choices('aZ9._%+-', k=rng.randint(1, 64)))}@mail.example.org" for _ in range(300)]
+    old += [f"{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}" for _ in range(200)] + [f"{rng.randint(1900, 2099)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}" for _ in range(200)]
+    rows = pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(old)], "doc_id long, text string"), key=KEY, matches_col="m").collect()
+    kinds = {k: 0 for k in pii.KINDS}
+    for r in rows:
+        assert r["text"] == re.sub(pii.PATTERN, lambda m: pseudonym(m[0]), old[r["doc_id"]])
+        for m in r["m"] or []:
+            if m["kind"]:
+                assert kind_of(m["new"]) == m["kind"] and len(m["new"]) == len(m["old"]) or m["kind"] == "ipv4"
+                kinds[m["kind"]] += 1
+    assert all(kinds.values())
+
+
+def test_the_key_is_in_no_plan(spark, sf, capsys):
+    spark.conf.set("spark.glyphmill.pii.secret", "swordfish-of-the-session")
+    try:
+        out = queries.op6_pii(spark, sf)
+        out.explain(True)
+        out.explain("formatted")
+        assert "swordfish" not in capsys.readouterr().out and "swordfish" not in out._jdf.queryExecution().toString()
+        assert out.collect() != queries.pii.pseudonymise(queries.table(spark, sf, "documents"), key=queries.PSEUDONYM_KEY).collect()
+    finally:
+        spark.conf.unset("spark.glyphmill.pii.secret")
+
+
+def test_op6_on_a_whole_table(spark, sf, monkeypatch):
+    monkeypatch.setattr(queries, "PSEUDONYM_KEY", KEY)
     old = {r["doc_id"]: r["text"] for r in queries.table(spark, sf, "documents").collect()}
     rows = queries.op6_pii(spark, sf).collect()
     assert len(rows) == len(old)
     for r in rows:
         found = sum(r[f"n_{k}"] for k in pii.KINDS)
         assert (r["text"] == old[r["doc_id"]]) == (found == 0)
+        assert r["text"] == re.sub(pii.PATTERN, lambda m: pseudonym(m[0]), old[r["doc_id"]])
         for m in re.findall(r"(?<![0-9A-Za-z])\d{16}(?![0-9A-Za-z])|\+1 \(\d{3}\) \d{3}-\d{4}", old[r["doc_id"]]):
             assert m not in r["text"]
