@@ -7,18 +7,27 @@ table, never the tasks that made it.
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Bytes that a broadcast side may take in memory, and of a row besides its values.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one where none is set (tests)."""
+    """The session's shared folder; where none is set, a temporary one in local
+    mode (tests), and an error on a cluster, whose machines share no such folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         found = held.rsplit("/", 1)[0] if held else "file://" + tempfile.mkdtemp(prefix="glyphmill-")
         if not held:
             spark.sparkContext.setCheckpointDir(found)
@@ -26,6 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as it is the same on all machines."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/(?!//)", "file:///", whole)
+
+
+def is_small(df: DataFrame, value_bytes: int) -> bool:
+    """Whether a written table, whose rows have ``value_bytes`` at most, may be
+    broadcast: its rows are counted first."""
+    return df.count() * (value_bytes + ROW_BYTES) <= BROADCAST_BYTES
+
+
+def small_side(df: DataFrame, value_bytes: int) -> DataFrame:
+    """``df`` to be broadcast if it is small, else as it is, for a shuffle."""
+    return F.broadcast(df) if is_small(df, value_bytes) else df
+
+
 class Scratch:
     """Tables of one query under a folder of its own in the shared folder."""
 

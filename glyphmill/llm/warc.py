@@ -4,20 +4,24 @@ An archive is a ZIP file of stored members: ``archive/data.warc.gz``, one gzip
 member a record, and ``indexes/index.cdx``, one line a record with its offset and
 length in the data. The reader parses the end record, the ZIP64 locator and the
 central directory, finds where a stored member's bytes lie, reads the index and
-then only the bytes of the records that are asked for. Nothing is extracted.
+then only the byte ranges of the records that are asked for. Nothing is extracted.
+
+Archives are files in a shared folder, written by the tasks as streams and read in
+ranges, through whatever file system the folder's scheme names (those of Arrow:
+local, HDFS, S3, GCS, Azure). A table lists them: a task that is run again writes
+files of other names, and only the files of the attempt that succeeded are listed.
 
 Records with equal payloads are stored once: the one with the smallest id is a
 response, the others are revisits that name it and keep the HTTP header, and
-with it the length of the payload.
-
-Archives of a DataFrame live in a table (archive, content) in a shared folder,
-so they can be in any store that Spark reads; ``ByteSource`` and ``FileSource``
-read the same bytes from memory and from files.
+with it the length of the payload. Payloads are equal if their SHA-256 and length
+are; ids and digests are shuffled for that, payloads only if there are more
+revisits than may be broadcast.
 
 Defined cases: a null payload is empty; a null id keeps its row and is the
 smallest only if all ids of its payload are null; repeated rows are records of
-their own, responses if they have the response's id; empty tables give no
-archive; extra columns are ignored.
+their own, responses if they have the response's id; very long payloads make an
+archive of their own; empty tables give no archive; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,22 +34,24 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO, Protocol
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, qualified, small_side
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
-#: Payload bytes after which an archive is closed.
-ARCHIVE_BYTES = 32 << 20
+#: Payload bytes after which an archive is closed, bytes of neighbouring records
+#: that are read at once, and rows and payload bytes of what the reader yields.
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_ROWS, BATCH_BYTES = 32 << 20, 1 << 20, 2_000, 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed signatures and sentinels of the ZIP format.
-LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
+LOCAL, DESCRIPTOR, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x07\x08", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 NONE16, NONE32 = 0xFFFF, 0xFFFFFFFF
 
 
@@ -76,18 +82,49 @@ class FileSource:
         return self.file.read(length)
 
 
+class StoredFile:
+    """A file of any file system that Arrow knows, by its URI."""
+
+    def __init__(self, uri: str):
+        store, path = pa_fs.FileSystem.from_uri(uri)
+        self.file = store.open_input_file(path)
+        self.size = self.file.size()
+
+    def read(self, offset: int, length: int) -> bytes:
+        return self.file.read_at(length, offset)
+
+    def close(self) -> None:
+        self.file.close()
+
+
 class StoredZip:
-    """Writes stored members; ZIP64 records where sizes need them or on demand."""
+    """Writes stored members as streams, their sizes in descriptors behind them;
+    ZIP64 records where sizes need them or on demand. Members of 4 GiB or more
+    need ``zip64``."""
 
     def __init__(self, out: BinaryIO, zip64: bool = False):
         self.out, self.zip64, self.entries = out, zip64, []
 
+    def begin(self, name: str) -> None:
+        self.raw, self.at, self.crc, self.n = name.encode(), self.out.tell(), 0, 0
+        size = NONE32 if self.zip64 else 0
+        extra = struct.pack("<HHQQ", 1, 16, 0, 0) if self.zip64 else b""
+        self.out.write(LOCAL + struct.pack("<HHHHHIIIHH", 45 if self.zip64 else 20, 0x808, 0, 0, 33, 0, size, size, len(self.raw), len(extra)) + self.raw + extra)
+
+    def write(self, content: bytes) -> None:
+        self.out.write(content)
+        self.crc, self.n = zlib.crc32(content, self.crc), self.n + len(content)
+
+    def end(self) -> None:
+        if self.n >= NONE32 and not self.zip64:
+            raise ValueError("members of 4 GiB or more need zip64")
+        self.out.write(DESCRIPTOR + struct.pack("<IQQ" if self.zip64 else "<III", self.crc, self.n, self.n))
+        self.entries.append((self.raw, self.at, self.crc, self.n))
+
     def add(self, name: str, content: bytes) -> None:
-        raw, at, crc, n = name.encode(), self.out.tell(), zlib.crc32(content), len(content)
-        big = self.zip64 or n >= NONE32
-        extra = struct.pack("<HHQQ", 1, 16, n, n) if big else b""
-        self.out.write(LOCAL + struct.pack("<HHHHHIIIHH", 45 if big else 20, 0x800, 0, 0, 33, crc, NONE32 if big else n, NONE32 if big else n, len(raw), len(extra)) + raw + extra + content)
-        self.entries.append((raw, at, crc, n))
+        self.begin(name)
+        self.write(content)
+        self.end()
 
     def close(self) -> None:
         start = self.out.tell()
@@ -97,7 +134,7 @@ class StoredZip:
             extra = struct.pack("<HH", 1, len(body)) + body if body else b""
             size, offset = NONE32 if wide[0] else n, NONE32 if wide[1] else at
             version = 45 if extra else 20
-            self.out.write(CENTRAL + struct.pack("<HHHHHHIIIHHHHHII", version, version, 0x800, 0, 0, 33, crc, size, size, len(raw), len(extra), 0, 0, 0, 0, offset) + raw + extra)
+            self.out.write(CENTRAL + struct.pack("<HHHHHHIIIHHHHHII", version, version, 0x808, 0, 0, 33, crc, size, size, len(raw), len(extra), 0, 0, 0, 0, offset) + raw + extra)
         end, count = self.out.tell(), len(self.entries)
         if self.zip64 or count >= NONE16 or end >= NONE32:
             self.out.write(END64 + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, count, count, end - start, start))
@@ -228,89 +265,144 @@ def read_record(member: bytes) -> Record:
     return Record(headers, _fields(http), payload)
 
 
+class Archive:
+    """Writes records into an archive, one after another."""
+
+    def __init__(self, out: BinaryIO, zip64: bool = False):
+        self.zip, self.index, self.payload_bytes = StoredZip(out, zip64), [], 0
+        self.zip.begin(DATA)
+
+    def add(self, row: int | None, url: str | None, payload: bytes, refers_to: int | None) -> None:
+        member, at = write_record(row, url, payload, refers_to), self.zip.n
+        self.zip.write(member)
+        self.index.append(json.dumps({"row": row, "url": url, "offset": at, "length": len(member)}, ensure_ascii=False))
+        self.payload_bytes += len(payload)
+
+    def close(self) -> None:
+        self.zip.end()
+        self.zip.add(INDEX, "\n".join(self.index).encode("utf-8", "surrogatepass"))
+        self.zip.close()
+
+
 def build(rows: Iterator[tuple[int | None, str | None, bytes, int | None]], zip64: bool = False) -> bytes:
-    """A whole archive of (id, url, payload, refers_to) rows."""
-    data, index = io.BytesIO(), []
-    for row, url, payload, refers_to in rows:
-        member, at = write_record(row, url, payload, refers_to), data.tell()
-        data.write(member)
-        index.append(json.dumps({"row": row, "url": url, "offset": at, "length": len(member)}, ensure_ascii=False))
+    """A whole archive of (id, url, payload, refers_to) rows, in memory."""
     out = io.BytesIO()
-    archive = StoredZip(out, zip64)
-    archive.add(DATA, data.getvalue())
-    archive.add(INDEX, "\n".join(index).encode("utf-8", "surrogatepass"))
+    archive = Archive(out, zip64)
+    for row in rows:
+        archive.add(*row)
     archive.close()
     return out.getvalue()
 
 
-def records(source: Source) -> Iterator[Record]:
-    """All records of an archive by its index, each by a read of its own range."""
+def records(source: Source, wanted: Container[int] | None = None) -> Iterator[Record]:
+    """The records of an archive by its index, or those whose row is ``wanted``,
+    each by its own range; ranges that lie side by side are read together."""
     archive = ZipReader(source)
-    for line in archive.whole(INDEX).decode("utf-8", "surrogatepass").splitlines():
-        entry = json.loads(line)
-        yield read_record(archive.range(DATA, entry["offset"], entry["length"]))
+    entries = (json.loads(line) for line in archive.whole(INDEX).decode("utf-8", "surrogatepass").splitlines())
+    held: list[tuple[int, int]] = []
+
+    def read() -> Iterator[Record]:
+        start = held[0][0]
+        raw = archive.range(DATA, start, held[-1][0] + held[-1][1] - start)
+        for offset, length in held:
+            yield read_record(raw[offset - start : offset - start + length])
+        held.clear()
+
+    for entry in entries:
+        if wanted is not None and entry["row"] not in wanted:
+            continue
+        if held and (sum(held[-1]) != entry["offset"] or sum(held[-1]) - held[0][0] >= RANGE_BYTES):
+            yield from read()
+        held.append((entry["offset"], entry["length"]))
+    if held:
+        yield from read()
 
 
 def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least_bytes: int = 0) -> DataFrame:
     """(id, url, payload, refers_to): refers_to is the id of the response of an
     equal payload of at least ``least_bytes``, null for responses."""
+    scratch = Scratch(pages.sparkSession, "revisits")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    marks = rows.select("id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n")).where(F.col("n") >= least_bytes)
-    first = marks.groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("sha1", "first")
-    joined = rows.withColumn("sha1", F.sha1("payload")).join(first, "sha1", "left")
-    return joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
-
-
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least_bytes: int = 0) -> None:
-    """Writes the table (archive, content) of archives of the pages."""
+    key = F.unhex(F.sha2("payload", 256))
+    marks = scratch.save(rows.select("id", key.alias("key"), F.octet_length("payload").alias("n")).where(F.col("n") >= least_bytes), "marks")
+    firsts = scratch.save(marks.groupBy("key", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies"), "firsts")
+    again = marks.join(small_side(firsts, 48), ["key", "n"]).where(~F.col("id").eqNullSafe(F.col("first")))
+    known = scratch.save(again.select(F.col("id").alias("again_id"), F.col("key").alias("again_key"), "first").distinct(), "again")
+    same = F.col("id").eqNullSafe(F.col("again_id")) & (key == F.col("again_key"))
+    return rows.join(small_side(known, 48), same, "left").select("id", "url", "payload", F.col("first").alias("refers_to"))
+
+
+def write_archives(
+    pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least_bytes: int = 0, *, archive_bytes: int = ARCHIVE_BYTES, zip64: bool | None = None
+) -> None:
+    """Writes archives of the pages into ``path``/_archives, and at ``path`` the
+    table (archive, bytes, records) that lists them."""
+    folder = qualified(pages.sparkSession, f"{path}/_archives")
+    wide = archive_bytes > 1 << 31 if zip64 is None else zip64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        store, root = pa_fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name, out, archive = "", None, None
+        made = []
 
-        def closed() -> pa.RecordBatch:
-            content = build(iter(held))
-            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(content).hexdigest()]), pa.array([content], pa.binary())], ["archive", "content"])
+        def close() -> None:
+            archive.close()
+            made.append((f"{folder}/{name}", out.tell(), len(archive.index)))
+            out.close()
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(row)
-                size += len(row[2])
-                if size >= ARCHIVE_BYTES:
-                    yield closed()
-                    held, size = [], 0
-        if held:
-            yield closed()
+            for i in range(batch.num_rows):
+                if archive is None:
+                    name = f"{uuid.uuid4().hex}.wacz"
+                    out = store.open_output_stream(f"{root}/{name}")
+                    archive = Archive(out, wide)
+                archive.add(*(column[i].as_py() for column in batch.columns))
+                if archive.payload_bytes >= archive_bytes:
+                    close()
+                    archive = None
+        if archive is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["archive", "bytes", "records"])
 
     rows = revisits(pages, id_col, payload_col, url_col, least_bytes)
-    rows.mapInArrow(run, "archive string, content binary").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, "archive string, bytes long, records long").write.parquet(path)
 
 
-def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = True, wanted: Container[int] | None = None) -> DataFrame:
     """One row per record of a table of archives: page_id, url, payload_bytes,
     payload_digest, record_type, refers_to and, with ``payloads``, payload (null
-    for revisits)."""
+    for revisits). Of other rows than the ``wanted`` ones no byte is read."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: 7 if payloads else 6]
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: len(kinds)]
+
+    def row_of(r: Record) -> tuple:
+        h, number = r.headers, lambda k: int(r.headers[k]) if k in r.headers else None
+        held, told = r.kind == "response", h["warc-payload-digest"].partition(":")[2]
+        if held and digest(r.payload) != told:
+            raise ValueError(f"payload of {h['warc-record-id']} doesn't have its digest")
+        size = len(r.payload) if held else int(r.http["content-length"])
+        return number("x-row-id"), json.loads(f'"{h["warc-target-uri"]}"'), size, told, r.kind, number("x-refers-to-row-id"), r.payload if held else None
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], t) for k, t in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                rows = []
-                for r in records(ByteSource(content.as_buffer())):
-                    h, number = r.headers, lambda k, h=r.headers: int(h[k]) if k in h else None
-                    held, told = r.kind == "response", h["warc-payload-digest"].partition(":")[2]
-                    if held and digest(r.payload) != told:
-                        raise ValueError(f"payload of {h['warc-record-id']} doesn't have its digest")
-                    size = len(r.payload) if held else int(r.http["content-length"])
-                    rows.append((number("x-row-id"), json.loads(f'"{h["warc-target-uri"]}"'), size, told, r.kind, number("x-refers-to-row-id"), r.payload if held else None))
-                columns = list(zip(*rows))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-                n = len(kinds) if payloads else len(kinds) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(columns, kinds))[:n]], names[:n])
-
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return archives.select("content").mapInArrow(run, schema)
+            for uri in batch.column("archive").to_pylist():
+                source, rows, size = StoredFile(uri), [], 0
+                for r in records(source, wanted):
+                    rows.append(row_of(r))
+                    size += len(r.payload) if payloads else 0
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                source.close()
+                yield batch_of(rows)
+
+    # the table is small, its archives aren't: every one is read by a task of its own
+    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(run, ", ".join(f"{n} {'long' if pa.types.is_int64(t) else 'string' if pa.types.is_string(t) else 'binary'}" for n, t in zip(names, kinds)))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphmill.llm import htmlpages, htmltext, packing, quality, queries, tokens, topk, toxicity, warc
+from glyphmill.llm import htmlpages, htmltext, packing, quality, queries, store, tokens, topk, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -127,6 +127,47 @@ def test_archives_are_zip_files(zip64):
         warc.ZipReader(warc.ByteSource(b"no archive"))
 
 
+def test_archives_are_read_in_ranges(spark, tmp_path):
+    df = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 200).alias("html"))
+    warc.write_archives(df.coalesce(2), f"file://{tmp_path}/a", archive_bytes=100_000, zip64=True)
+    table = spark.read.parquet(f"file://{tmp_path}/a")
+    files = [r["archive"] for r in table.collect()]
+    assert table.agg(F.sum("records")).first()[0] == 60 and len(files) > 4 and all(zipfile.ZipFile(f.removeprefix("file://")).testzip() is None for f in files)
+    some = warc.read_archives(table, wanted={7, 41}).collect()
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in some} == {r["page_id"]: r["html"] for r in df.where("page_id in (7, 41)").collect()}
+    content = warc.build(((i, "u", bytes(random.Random(i).randbytes(5_000)), None) for i in range(200)))
+    source = warc.ByteSource(content)
+    assert [r.payload for r in warc.records(source, {150})] == [random.Random(150).randbytes(5_000)] and source.asked < len(content) / 5
+
+
+@pytest.mark.parametrize("limit", [64 << 20, -1])
+def test_revisits_beyond_the_broadcast(spark, limit, monkeypatch):
+    monkeypatch.setattr(store, "BROADCAST_BYTES", limit)
+    rows = [(i, f"p{i % 3}" if i % 2 else "error page") for i in range(90)] + [(None, "p1"), (5, "p1"), (5, None)]
+    df = spark.createDataFrame([(i, "u", h, "x", 0) for i, h in rows], "page_id long, url string, html string, key string, first int")
+    got = sorted(((r["id"], bytes(r["payload"]).decode(), r["refers_to"]) for r in warc.revisits(df).collect()), key=repr)
+    first = {h: min(i for i, g in rows if (g or "") == h and i is not None) for h in ("p0", "p1", "p2", "error page", "")}
+    assert got == sorted(((i, h or "", None if first[h or ""] == i else first[h or ""]) for i, h in rows), key=repr)
+
+
+def test_archives_beyond_four_gigabytes(tmp_path):
+    path = tmp_path / "big.zip"
+    with path.open("wb") as f:
+        f.seek(5 << 30)  # a hole: what lies before an archive is no part of it, but counts for its offsets
+        archive = warc.Archive(f)
+        archive.add(1, "u", b"one", None)
+        archive.close()
+    assert path.stat().st_blocks * 512 < 1 << 20
+    source = warc.StoredFile(f"file://{path}")
+    assert [m.header > 5 << 30 or m.header == 5 << 30 for m in warc.ZipReader(source).members.values()] == [True, True]
+    assert [r.payload for r in warc.records(source)] == [b"one"]
+    with pytest.raises(ValueError):
+        small = warc.StoredZip(io.BytesIO())
+        small.begin("a")
+        small.n = warc.NONE32
+        small.end()
+
+
 def test_ranges_of_a_foreign_archive(tmp_path):
     path = tmp_path / "x.zip"
     with zipfile.ZipFile(path, "w") as z:
