@@ -1,17 +1,23 @@
 """Text quality by compression with trained dictionaries.
 
-Method: one zstandard dictionary is built from texts labelled good, one from
-texts labelled bad. A text is compressed piece by piece with either; the
-difference of the two sizes, divided by the size of the text, tells which kind
-it is more like, and a logistic function, fitted on labelled texts that built no
-dictionary, turns it into a probability.
-
-The dictionaries and the fit use at most ``rows`` labelled rows and ``PIECE``
-bytes of each at a time; whole texts are scored.
-
-Defined cases: null and empty texts score as the fit's bias says; without
-labelled rows of both kinds the score is the share of label 1 (1 without rows);
-repeated rows are scored one by one; extra columns are ignored.
+Method: zstandard dictionaries are built from texts labelled good and from texts
+labelled bad, a pair of them from each half of the labelled texts. A text is
+compressed piece by piece with either of a pair; the difference of the two sizes,
+divided by the size of the text, tells which kind it is more like. The mean
+difference of the pairs is the only input of the score: a rising function turns it
+into a probability. It is fitted by isotonic regression on the labelled texts,
+each measured with the pair that it didn't build.
+
+The fit uses at most ``rows`` labelled rows and ``most_bytes`` bytes of their texts,
+which the driver holds; whole texts are scored. Where a class has too little text
+to train a dictionary, the texts themselves are its dictionary, as zstandard
+allows.
+
+Defined cases: null and empty texts have the difference 0; without labelled rows
+of both kinds the score is the share of label 1 (1 without rows); equal differences
+have equal scores; an id counts once in the fit, whatever its rows and labels (see
+``labelled``); very long texts are compressed piece by piece; repeated rows are
+scored one by one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .labelled import sample
 
-#: Labelled rows of a fit; bytes of a piece, of a dictionary, and of the texts
-#: that build one.
-ROWS, PIECE, DICTIONARY, MATERIAL = 8_000, 2_048, 65_536, 12 << 20
+#: Labelled rows of a fit and bytes of their texts; bytes of a piece and of a
+#: dictionary; pieces that a dictionary is trained from at least.
+ROWS, BYTES, PIECE, DICTIONARY, LEAST_PIECES = 8_000, 24 << 20, 512, 65_536, 16
 LEVEL = 3
 
 
@@ -37,103 +43,99 @@ def pieces_of(raw: bytes) -> list[bytes]:
     return [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
 
 
+def measure(good: bytes, bad: bytes) -> Callable[[bytes], float]:
+    """raw text -> how much larger it is with the bad dictionary, as a share of its
+    bytes."""
+    with_good, with_bad = (
+        zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+        for d in (good, bad)
+    )
+
+    def of(raw: bytes) -> float:
+        more = sum(len(with_bad.compress(p)) - len(with_good.compress(p)) for p in pieces_of(raw))
+        return more / max(len(raw), 1)
+
+    return of
+
+
+def raw_of(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
 @dataclass
 class Model:
-    good: bytes
-    bad: bytes
-    weights: list[float]
-
-    def measure(self) -> Callable[[str | None], tuple[float, ...]]:
-        """text -> (difference, size with the good one, with the bad one, plain),
-        each a share of the text's bytes, and log of the bytes."""
-        makers = [
-            zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_checksum=False, write_content_size=False, write_dict_id=False)
-            for d in (self.good, self.bad, b"")
-        ]
-
-        def of(text: str | None) -> tuple[float, ...]:
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            if not raw:
-                return 0.0, 0.0, 0.0, 0.0, 0.0
-            sizes = [sum(len(m.compress(p)) for p in pieces_of(raw)) / len(raw) for m in makers]
-            return sizes[1] - sizes[0], *sizes, float(np.log1p(len(raw)))
-
-        return of
+    """Pairs of dictionaries (good, bad), and the points of the calibration."""
+
+    pairs: list[tuple[bytes, bytes]]
+    differences: list[float]
+    scores: list[float]
 
     def scorer(self) -> Callable[[str | None], float]:
-        of, w = self.measure(), np.array(self.weights)
+        of = [measure(*pair) for pair in self.pairs]
 
         def score(text: str | None) -> float:
-            z = float(expand(np.array([of(text)])) @ w) if len(w) > 1 else float(w[0])
-            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            raw = raw_of(text)
+            return float(np.interp(sum(f(raw) for f in of) / max(len(of), 1), self.differences, self.scores))
 
         return score
 
 
-def expand(x: np.ndarray) -> np.ndarray:
-    """Inputs of the calibration: bias, the differences, and how they bend."""
-    d, good, bad, plain, size = (x[:, i] for i in range(5))
-    ratio = d / np.maximum(plain, 0.05)
-    some = (size > 0).astype("f8")
-    short = some / np.maximum(size - 2, 1)
-    return np.stack([np.ones(len(x)), 10 * ratio, 10 * np.maximum(ratio - 0.05, 0), 10 * np.minimum(ratio + 0.05, 0), good * 3, plain * 3, some * (plain < 0.3), short, 10 * ratio * short], axis=1)
-
-
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
-    """Weights of a logistic fit by Newton's method."""
-    a = expand(x)
-    w = np.zeros(a.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + ridge * w
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-6)[:, None]).T @ a + ridge * np.eye(len(w)), grad)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
-            break
-    return [float(round(v, 9)) for v in w]
+def calibrate(differences: list[float], labels: list[int]) -> tuple[list[float], list[float]]:
+    """Points of a rising function from difference to probability: isotonic
+    regression by pooling neighbours. A pool of n rows counts as n + 1, with one
+    of the overall share, so no score is 0 or 1."""
+    share = sum(labels) / len(labels)
+    pools: list[list[float]] = []  # sum of the differences, rows of label 1, rows
+    rate = lambda p: p[1] / p[2]
+    held: dict[float, list[float]] = {}
+    for x, y in zip(differences, labels):
+        at = held.setdefault(x, [0.0, 0.0, 0.0])
+        held[x] = [at[0] + x, at[1] + y, at[2] + 1]
+    for x in sorted(held):
+        pools.append(held[x])
+        while len(pools) > 1 and rate(pools[-2]) >= rate(pools[-1]):
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    scores = np.maximum.accumulate([(p[1] + share) / (p[2] + 1) for p in pools])
+    return [p[0] / p[2] for p in pools], [float(v) for v in scores]
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary of evenly taken pieces of the texts."""
-    parts, held = [p for t in texts for p in pieces_of(t)], 0
-    every = max(1, -(-sum(map(len, parts)) // MATERIAL))
-    taken = parts[::every]
-    held = sum(map(len, taken))
-    size = min(DICTIONARY, held // 4)
-    if len(taken) >= 16 and size >= 1024:
+    """A dictionary trained from the pieces of the texts."""
+    parts = [p for t in texts for p in pieces_of(t)]
+    size = min(DICTIONARY, sum(map(len, parts)) // 4)
+    if len(parts) >= LEAST_PIECES and size >= 1024:
         try:
-            return zstandard.train_dictionary(size, taken, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
+            return zstandard.train_dictionary(size, parts, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:  # pieces that are all alike
             pass
-    return b"".join(taken)[-DICTIONARY:]
+    return b"".join(parts)[-DICTIONARY:] or b" "
 
 
 def train(rows: list[tuple[int, str | None]]) -> Model:
-    """A model of (label, text) rows; odd rows build the dictionaries, even rows
-    calibrate."""
-    y = np.array([r[0] for r in rows], "f8")
-    if len(rows) < 4 or y.min() == y.max():
-        share = float(y.mean()) if len(rows) else 1.0
-        return Model(b"", b"", [float(np.log((share + 1e-6) / (1 - share + 1e-6)))])
-    order = {0: 0, 1: 0}
-    build: dict[int, list[bytes]] = {0: [], 1: []}
-    rest = []
-    for label, text in rows:
-        order[label] += 1
-        if order[label] % 2:
-            build[label].append((text or "").encode("utf-8", "surrogatepass"))
-        else:
-            rest.append((label, text))
-    model = Model(dictionary(build[1]), dictionary(build[0]), [0.0])
-    of = model.measure()
-    model.weights = calibrate(np.array([of(t) for _, t in rest]), np.array([label for label, _ in rest], "f8"))
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", *, rows: int = ROWS) -> Model:
-    """Fits on at most ``rows`` labelled rows outside the held-out part."""
-    got = sample(docs, labels, label, rows, id_col, text_col).select("id", "text", "label").collect()
-    return train([(int(r["label"] > 0), r["text"]) for r in sorted(got, key=lambda r: (str(r["id"]), r["text"] or ""))])
+    """A model of (label, text) rows; the rows of a label go to the two halves by
+    turns."""
+    ones = sum(label for label, _ in rows)
+    if len(rows) < 4 or not 0 < ones < len(rows):
+        return Model([], [0.0], [ones / len(rows) if rows else 1.0])
+    seen, halves = [0, 0], []
+    for label, _ in rows:
+        halves.append(seen[label] % 2)
+        seen[label] += 1
+    raws = [raw_of(text) for _, text in rows]
+    of_label = lambda half, label: dictionary([raw for raw, h, (y, _) in zip(raws, halves, rows) if h == half and y == label])
+    pairs = [(of_label(half, 1), of_label(half, 0)) for half in (0, 1)]
+    of = [measure(*pair) for pair in pairs]
+    return Model(pairs, *calibrate([of[1 - h](raw) for raw, h in zip(raws, halves)], [label for label, _ in rows]))
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", *, rows: int = ROWS, most_bytes: int = BYTES
+) -> Model:
+    """Fits on at most ``rows`` labelled rows with ``most_bytes`` bytes of text,
+    outside the held-out part."""
+    got = sample(docs, labels, label, rows, most_bytes, id_col, text_col).orderBy(F.xxhash64("id"), "id").select("label", "text").toArrow()
+    return train(list(zip(got["label"].to_pylist(), got["text"].to_pylist())))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

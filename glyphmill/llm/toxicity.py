@@ -7,13 +7,16 @@ the fit penalises the squared change of the log-odds. A neutral mention of a
 group so moves the score little, while words that are toxic whoever is mentioned
 keep their weight.
 
-The fit uses at most ``rows`` labelled rows (documented in ``fit``); scores are
-made for every whole text.
+The fit uses at most ``rows`` labelled rows and ``most_bytes`` bytes of their texts;
+the driver gets counts of at most ``kept`` features of each. Scores are made for
+every whole text.
 
 Defined cases: null and empty texts score the bias alone; without labelled rows
-of both kinds the score is the share of label 1 (0 without rows); repeated rows
-are scored one by one; extra columns are ignored by ``score`` and kept by
-``remove_toxic``.
+of both kinds the score is the share of label 1 (0 without rows); an id counts once
+in the fit, whatever its rows and labels (see ``labelled``); features that tell
+equally much are taken in the order of their numbers; very long texts are scored
+whole; repeated rows are scored one by one; an empty table stays empty; extra
+columns are ignored by ``score`` and kept by ``remove_toxic``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +29,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sample
-from .store import Scratch, release
+from .store import release
 
-#: Labelled rows of a fit, hashed features, features kept, penalties.
-ROWS, BITS, KEPT = 12_000, 20, 4_096
+#: Labelled rows of a fit and bytes of their texts, hashed features, features kept,
+#: texts that a kept one is in at least and how much it tells (its G statistic).
+ROWS, BYTES, BITS, KEPT, LEAST_TEXTS, LEAST_G = 12_000, 48 << 20, 20, 4_096, 3, 3.0
 RIDGE, FAIRNESS, STEPS = 0.2, 1.0, 400
 #: Words that a scorer remembers at most.
 KNOWN_WORDS = 200_000
@@ -177,37 +182,39 @@ def _kept_counts(kept: frozenset[int]) -> Callable:
     return run
 
 
-def _sparse(rows: list, column: dict[int, int]) -> Sparse:
-    row = np.repeat(np.arange(len(rows)), [len(r["features"]) for r in rows])
-    flat = lambda k: [v for r in rows for v in r[k]]
-    return Sparse(len(rows), row, np.array([column[f] for f in flat("features")], "i8"), np.array(flat("counts"), "i8"))
+def _sparse(rows: pa.Table, features: np.ndarray) -> Sparse:
+    sizes = pc.list_value_length(rows["features"]).to_numpy()
+    found, counts = (pc.list_flatten(rows[c].combine_chunks()).to_numpy() for c in ("features", "counts"))
+    return Sparse(rows.num_rows, np.repeat(np.arange(rows.num_rows), sizes), np.searchsorted(features, found), counts)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, rows: int = ROWS, ridge: float = RIDGE, fairness: float = FAIRNESS) -> Model:
-    """Fits on at most ``rows`` labelled rows outside the held-out part.
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, rows: int = ROWS, most_bytes: int = BYTES,
+    kept: int = KEPT, least_texts: int = LEAST_TEXTS, least_g: float = LEAST_G, ridge: float = RIDGE, fairness: float = FAIRNESS,
+) -> Model:
+    """Fits on at most ``rows`` labelled rows with ``most_bytes`` bytes of text,
+    outside the held-out part.
 
     Which of the hashed features tell most about the label is counted on the
-    executors; the driver gets the counts of the KEPT best ones in every row.
+    executors; the driver gets the counts of the ``kept`` best ones in every row.
     """
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    taken = scratch.save(sample(docs, labels, label, rows, id_col, text_col).select(F.col("id").cast("string").alias("id"), "label", "text"), "sample")
-    size = taken.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0)).alias("pos")).first()
+    taken = sample(docs, labels, label, rows, most_bytes, id_col, text_col).select(F.col("id").cast("string").alias("id"), "label", "text")
+    size = taken.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
     n, n1 = size["n"], size["pos"]
     if not 0 < n1 < n:
         return train(np.array([1.0] * n1 + [0.0] * (n - n1)), Sparse(n, *[np.zeros(0, "i8")] * 3), [])
-    counts = taken.select("label", "text").mapInArrow(_presence, "feature int, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where("n >= 3")
+    counts = taken.select("label", "text").mapInArrow(_presence, "feature int, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     a, b, share = F.col("pos"), F.col("n") - F.col("pos"), n1 / n
     # how much the presence of a feature tells about the label: the G statistic
     part = lambda x, p: F.when(x > 0, x * F.log(x / (F.col("n") * p))).otherwise(0.0)
-    best = counts.withColumn("g", part(a, share) + part(b, 1 - share)).where("g > 3").orderBy(F.col("g").desc(), "feature").limit(KEPT).select("feature").collect()
+    telling = counts.where(F.col("n") >= least_texts).withColumn("g", part(a, share) + part(b, 1 - share)).where(F.col("g") > least_g)
+    best = telling.orderBy(F.col("g").desc(), "feature").limit(kept).select("feature").collect()
     features = sorted(r["feature"] for r in best)
-    got = taken.mapInArrow(_kept_counts(frozenset(features)), "id string, label int, twin int, features array<int>, counts array<int>").collect()
-    got = sorted(got, key=lambda r: (r["twin"] == 2, r["id"], r["twin"], r["features"]))
-    column = {f: i for i, f in enumerate(features)}
-    own = [r for r in got if r["twin"] < 2]
-    marked, others = [r for r in own if r["twin"]], [r for r in got if r["twin"] == 2]
-    twins = (_sparse(marked, column), _sparse(others, column)) if marked else None
-    return train(np.array([r["label"] for r in own], "f8"), _sparse(own, column), features, twins, ridge, fairness)
+    got = taken.mapInArrow(_kept_counts(frozenset(features)), "id string, label int, twin int, features array<int>, counts array<int>").toArrow().sort_by("id")
+    twin, columns = got["twin"].to_numpy(), np.array(features, "i8")
+    own, marked, others = (got.filter(pa.array(x)) for x in (twin < 2, twin == 1, twin == 2))
+    twins = (_sparse(marked, columns), _sparse(others, columns)) if marked.num_rows else None
+    return train(own["label"].to_numpy().astype("f8"), _sparse(own, columns), features, twins, ridge, fairness)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphmill.llm import htmlpages, htmltext, packing, quality, queries, store, tokens, topk, toxicity, warc
+from glyphmill.llm import htmlpages, htmltext, labelled, packing, quality, queries, store, tokens, topk, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -383,6 +383,52 @@ def labelled_rows(spark):
     return docs, labels.withColumn("quality", 1 - F.col("toxic"))
 
 
+def test_samples_are_bounded_and_settled(spark):
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in range(100) for k in range(10)] + [(200, None), (None, "x"), (300, "y" * 5_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k < i % 4)) for i in range(100) for k in range(3)] + [(200, 1), (None, 1), (300, 1), (301, None)], "doc_id long, toxic int").withColumn("label", F.lit("clash"))
+    of = lambda d, rows, most: sorted((r["id"], r["label"], r["text"] or "") for r in labelled.sample(d, labels, "toxic", rows, most).collect())
+    whole = of(docs, 1_000, 1 << 20)
+    assert len({i for i, *_ in whole}) == len(whole) and {i for i, *_ in whole} == {i for i in [*range(100), 200, 300] if zlib.crc32(str(i).encode()) % 5}
+    assert all(y == int(i % 4 >= 2) for i, y, _ in whole if i < 200)  # no or one row of three, two, all
+    assert whole == of(docs.repartition(7).orderBy(F.rand(3)), 1_000, 1 << 20)
+    ten = of(docs, 10, 1 << 20)
+    assert len(ten) == 10 and set(ten) <= set(whole)
+    few = of(docs, 1_000, 100)
+    assert set(few) < set(whole) and 80 < sum(len(t) for *_, t in few) <= 100 and not any(i == 300 for i, *_ in few)
+
+
+def test_fits_are_the_same_for_repeated_and_shuffled_rows(spark):
+    docs, labels = labelled_rows(spark)
+    again, twice = docs.union(docs).orderBy(F.rand(1)), labels.union(labels).orderBy(F.rand(2))
+    for module, label in ((toxicity, "toxic"), (quality, "quality")):
+        assert module.fit(docs, labels, label) == module.fit(again, twice, label)
+
+
+def test_false_positives_on_neutral_mentions(spark):
+    """Toxic rows mention one group much more often than others do; a fit that
+    doesn't mind counts the mention itself as toxic."""
+    rng = random.Random(6)
+
+    def text(toxic, mention):
+        return " ".join([*rng.choices(WORDS, k=rng.randint(3, 9)), *([rng.choice(["vile", "scum", "filth"])] if toxic and rng.random() < 0.6 else []), *([mention] if mention else [])])
+
+    rows = [(i, text(t := i % 3 == 0, rng.choice(["muslims", "muslims", "immigrants", ""]) if t else rng.choice(["christians", "", "", "", "muslims"] if i % 5 == 1 else ["christians", ""])), int(t)) for i in range(1_500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    neutral = [text(False, m) for m in ("muslims", "immigrants", "jews", "natives") for _ in range(100)]
+    wrong = {}
+    for fairness in (0.0, toxicity.FAIRNESS):
+        of = toxicity.fit(table.drop("toxic"), table.drop("text"), fairness=fairness).scorer()
+        wrong[fairness] = np.mean([of(t) >= 0.5 for t in neutral])
+        assert np.mean([of(f"river {w} stone") >= 0.5 for w in ("vile", "scum", "filth")]) == 1
+    assert wrong[0.0] > 0.2 and wrong[toxicity.FAIRNESS] < wrong[0.0] / 3, wrong
+
+
+def test_calibration_rises():
+    at, scores = quality.calibrate([0.1, 0.3, 0.2, 0.4, 0.4, 0.0, 0.5], [0, 1, 1, 0, 1, 0, 1])
+    assert at == sorted(at) and scores == sorted(scores) and 0 < scores[0] < scores[-1] < 1
+    assert quality.calibrate([0.0, 0.0], [1, 0]) == ([0.0], [0.5])
+
+
 def test_toxicity_cases(spark):
     docs, labels = labelled_rows(spark)
     plain, fair = toxicity.fit(docs, labels, fairness=0.0), toxicity.fit(docs, labels, fairness=50.0)
