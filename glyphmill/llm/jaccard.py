@@ -15,14 +15,22 @@ of it.
 Buckets of few members are joined with themselves. Groups of copies, which fill
 larger ones, are never written out in pairs: every node there is verified against
 one hub first, the node with the most common shingles, and links become components.
-Then larger buckets are cut into blocks, a task compares two blocks by class counts,
-and gives the pairs of different components that may be linked. All of these are
-verified, so no link between different components is lost.
+Larger buckets that now lie in one component are done. In the others the nodes
+outside the largest component are cut into blocks, which meet each other and the
+blocks of the largest component; blocks of that one don't meet. A task compares two
+blocks by class counts and gives the pairs of different components that may be
+linked. All of these are verified, so no link between different components is lost.
+
+Shingles are 64-bit hashes of words and node prints 128-bit ones; the join is exact
+up to their collisions. A side is broadcast only if its counted rows fit the bound
+of ``store.BROADCAST_BYTES``, else it is shuffled.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked
-with nothing; texts shorter than a shingle are one shingle; rows with the same
-id are one document; rows without id are reported with a null component; extra
-columns are ignored.
+with nothing; texts shorter than a shingle are one shingle; very long texts are
+hashed piece by piece; rows with the same id are one document, repeated rows count
+once and are reported each; rows without id are reported with a null component;
+where hubs tie the smaller id is it; an empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,12 +44,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import fingerprint, shingle_sets
-from .store import Scratch, release
+from .store import Scratch, release, small_side
 
 #: Counters of the frequency table (2**bits) and the parts they travel in.
 BITS, PARTS = 18, 16
-#: Node lists up to this many rows are broadcast to the scan of the texts.
-BROADCAST_ROWS = 1_000_000
 #: Members that are verified against a hub in one task's group, classes of the
 #: counts that rule pairs out before, and rows that Python holds at once.
 CHUNK, CLASSES, SLICE = 64, 256, 500
@@ -228,7 +234,9 @@ class Join:
         if not pairs.where("n > 1").isEmpty():
             # rows that are repeated as they are stand for one, everywhere but in the result
             self.prefixes = self.scratch.save(self.prefixes.dropDuplicates(["id", "print"]), "prefixes-once")
-            self.rows = self.rows.dropDuplicates(["id", "text"])
+            again = small_side(self.scratch.save(pairs.where("n > 1").select(F.col("id").alias(GONE)).distinct(), "repeated"), 8)
+            same = self.rows["id"] == F.col(GONE)
+            self.rows = self.rows.join(again, same, "left_anti").union(self.rows.join(again, same, "left_semi").dropDuplicates(["id", "text"]))
         nodes = self.prefixes.groupBy("print").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("group").alias("group"), F.first("common").alias("common"))
         groups = nodes.groupBy("group").agg(F.min("node").alias("hub"))
         self.members = self.scratch.save(nodes.join(groups, "group").select("node", "size", "print", "common", F.col("hub").alias("group")), "members")
@@ -241,9 +249,7 @@ class Join:
         each = self.prefixes.join(lead, ["id", "print"], "left_semi")
         rows = each.select(F.explode("prefix").alias("shingle"), F.col("id").alias("group"), "size")
         ends = rows.groupBy("shingle").agg(F.min("group").alias("first"), F.max("group").alias("last"), F.count("*").alias("n")).where(F.col("first") != F.col("last"))
-        shared = self.scratch.save(ends.select("shingle", "first", "n"), "shared")
-        if shared.count() <= BROADCAST_ROWS:
-            shared = F.broadcast(shared)
+        shared = small_side(self.scratch.save(ends.select("shingle", "first", "n"), "shared"), 24)
         return self.scratch.save(rows.join(shared, "shingle"), "buckets")
 
     def marks(self) -> DataFrame:
@@ -257,17 +263,16 @@ class Join:
         name = f"round-{self.rounds}"
         met = self.scratch.save(pairs.where("hub != node").distinct(), f"{name}-met")
         marks = self.marks()
-        small = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
+        small = small_side(met, 16)
         one = marks.select(F.col("id").alias("hub"), F.col("marks").alias("marks_a"), F.col("size").alias("size_a")).join(small, "hub")
         two = one.join(marks.select(F.col("id").alias("node"), F.col("marks").alias("marks_b"), F.col("size").alias("size_b")), "node")
         pairs = self.scratch.save(two.mapInArrow(_may_link(self.percent), "hub long, node long").distinct(), f"{name}-pairs")
-        if not (total := pairs.count()):
+        if pairs.isEmpty():
             return
         busy = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
         dealt = pairs.join(busy, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-        need = dealt.union(dealt.select("hub", F.col("hub").alias("node"), "chunk").distinct()).join(self.members.select("node", "print"), "node")
-        if total <= BROADCAST_ROWS:
-            need = F.broadcast(need)
+        needed = dealt.union(dealt.select("hub", F.col("hub").alias("node"), "chunk").distinct()).join(self.members.select("node", "print"), "node")
+        need = small_side(self.scratch.save(needed, f"{name}-needed"), 44)
         texts = self.rows.join(need, self.rows["id"] == need["node"]).select("node", "text", "print", "hub", "chunk")
         sets = texts.mapInArrow(_sets(self.n), "node long, hub long, chunk int, hashes binary")
         found = self.scratch.save(sets.groupBy("hub", "chunk").applyInArrow(_verify(self.percent), "a long, b long"), f"{name}-links")
@@ -323,13 +328,20 @@ class Join:
 
     def blocked(self, large: DataFrame, held: DataFrame) -> DataFrame:
         """(hub, node) of different components that meet in larger buckets and
-        groups, if their class counts allow a link. A bucket is cut into blocks;
-        a task sees two blocks of it and gives only the pairs that are left."""
-        rows = large.select("key", "own", "node", "size").join(held.select("node", "component"), "node")
-        blocks = rows.groupBy("key", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-        marked = rows.join(blocks, ["key", "own"]).join(self.marks().select(F.col("id").alias("node"), "marks"), "node")
-        mine = marked.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-        dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        groups, if their class counts allow a link. A task sees two blocks of a
+        bucket, at most one of them of its largest component, and gives only the
+        pairs that are left."""
+        rows = self.scratch.save(large.select("key", "own", "node", "size").join(held.select("node", "component"), "node"), "placed")
+        parts = rows.groupBy("key", "own", "component").agg(F.count("*").alias("n"))
+        most = F.max(F.struct("n", "component"))
+        blocks = parts.groupBy("key", "own").agg(most["component"].alias("main"), F.ceil(most["n"] / BLOCK).cast("int").alias("k_main"), F.ceil((F.sum("n") - most["n"]) / BLOCK).cast("int").alias("k_rest")).where("k_rest > 0")
+        open_ = rows.join(small_side(self.scratch.save(blocks, "blocks"), 29), ["key", "own"])
+        inside, number = F.col("component") == F.col("main"), F.xxhash64("node")
+        # blocks of the largest component have negative numbers
+        mine = F.when(inside, -1 - F.pmod(number, F.col("k_main"))).otherwise(F.pmod(number, F.col("k_rest"))).cast("int")
+        rest, main = F.sequence(F.lit(0), F.col("k_rest") - 1), F.sequence(-F.col("k_main"), F.lit(-1))
+        dealt = open_.withColumn("mine", mine).withColumn("other", F.explode(F.when(inside, rest).otherwise(F.concat(main, rest))))
+        dealt = dealt.join(self.marks().select(F.col("id").alias("node"), "marks"), "node")
         dealt = dealt.select("key", "own", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "size", "component", "marks")
         return dealt.groupBy("key", "own", "low", "high").applyInArrow(_pairs_of_blocks(self.percent), "hub long, node long")
 
@@ -354,9 +366,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id. Rows without id stay; of rows with one id one stays."""
     scratch = Scratch(docs.sparkSession, "one-of-each")
     found = scratch.save(near_duplicates(docs, id_col, text_col, n=n, percent=percent), "classes")
-    gone = scratch.save(found.where(F.col("id") != F.col("component")).select(F.col("id").alias(GONE)).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
+    gone = small_side(scratch.save(found.where(F.col("id") != F.col("component")).select(F.col("id").alias(GONE)).distinct(), "gone"), 8)
     left = docs.join(gone, docs[id_col].cast("long") == F.col(GONE), "left_anti")
     again = scratch.save(found.where("id is not null and id = component").groupBy("id").count().where("count > 1").select(F.col("id").alias(GONE)), "again")
     if again.isEmpty():

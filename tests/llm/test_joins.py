@@ -4,8 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from glyphmill.llm import components, jaccard, queries, shingles
+from glyphmill.llm import components, jaccard, queries, shingles, store
 from glyphmill.llm.store import Scratch
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -64,8 +65,41 @@ def test_components_are_exact(spark, seed, few, block, monkeypatch):
     assert got == brute(rows)
 
 
+def test_only_blocks_of_different_components_are_dealt(spark, monkeypatch):
+    """A bucket of one component is dealt to nobody; one with a few nodes beside its
+    largest component is dealt in proportion to its size, not to its square."""
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+    docs = spark.createDataFrame([(0, "a b c d e")], "doc_id long, text string")
+    join = jaccard.Join(docs, "doc_id", "text", 4, 85)
+    dealt = []
+
+    def counted(percent):
+        def run(key, table):
+            import pyarrow as pa
+
+            return pa.table({"hub": pa.array([table.num_rows], pa.int64()), "node": pa.array([key[2].as_py()], pa.int64())})
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_pairs_of_blocks", counted)
+    nodes = spark.range(1_000)
+    monkeypatch.setattr(join, "marks", lambda: nodes.select("id", F.lit(b"x").alias("marks"), F.lit(5).alias("size")))
+    for others in (0, 7):
+        join.scratch = Scratch(spark, "test")
+        large = nodes.select(F.lit(1).cast("long").alias("key"), F.lit(False).alias("own"), F.col("id").alias("node"), F.lit(5).cast("long").alias("size"))
+        held = nodes.select(F.col("id").alias("node"), F.when(F.col("id") < others, F.col("id")).otherwise(999).alias("component"))
+        dealt.append(sum(r["hub"] for r in join.blocked(large, held).collect()))
+    assert dealt[0] == 0 and 1_000 <= dealt[1] <= 1_000 + 7 * 102
+
+
+def test_repeated_rows_are_one_document(spark):
+    rows = near_copies(6, groups=2, members=8)
+    docs = spark.createDataFrame(rows + [rows[0]] * 50 + [(3, "another text of that id")] * 3, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard.near_duplicates(docs).collect()), key=repr) == brute(rows + [rows[0]] * 50 + [(3, "another text of that id")] * 3)
+
+
 def test_unions_beyond_the_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(store, "BROADCAST_BYTES", -1)
     rows = near_copies(4, groups=3, members=12)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in jaccard.near_duplicates(docs).collect()), key=repr) == brute(rows)
@@ -135,8 +169,6 @@ def test_near_copies_of_the_pipeline(spark, sf):
 
 
 def test_scratch_is_cleared(spark):
-    from glyphmill.llm import store
-
     held = Scratch(spark, "test").save(spark.range(3).toDF("id"), "t")
     assert held.count() == 3
     store.clear(spark)
