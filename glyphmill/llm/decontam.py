@@ -4,13 +4,17 @@ Method: the windows of all benchmark items are normalised, hashed and, below a
 checked size, broadcast as a hash table; every token window of every document
 probes it by hash, a hit is verified word by word, and the hit spans or the
 contaminated documents are removed. Beyond the checked size the same join is
-left to the optimiser, which shuffles by the window's hash.
+left to the optimiser, which shuffles by the window's hash. The size counts words,
+the lists of items that share a window, and what every row and value takes besides.
 
 Defined cases: null and wordless texts have no words and no hits; an item of
 fewer than ``n`` words is one window; items without id, text or words are left
-out; repeated document rows are reported one by one; repeated items count once;
-an empty benchmark leaves all documents clean; extra columns are kept by the
-removals and never clash, since internal names live in structs of their own.
+out; a window that several items have is a hit of each, and overlapping hits count
+a word once; very long texts are scanned whole, one window at a time; repeated
+document rows are reported one by one; repeated items count once; an empty
+benchmark leaves all documents clean, an empty table has an empty result; extra
+columns are kept by the removals and never clash, since internal names live in
+structs of their own.
 """
 
 from __future__ import annotations
@@ -24,9 +28,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same separators in texts whose case is not folded.
 RAW_SEPARATORS, RAW_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: A benchmark's windows are broadcast up to this many bytes of words, and a
-#: list of documents to change up to this many rows.
-BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 1_000_000
+#: A benchmark's windows and a list of documents to change are broadcast up to
+#: this many bytes in memory; bytes of a row and of a value besides its content.
+BROADCAST_BYTES, ROW_BYTES, VALUE_BYTES = 64 << 20, 64, 24
 #: The one column that a removal joins to the documents meanwhile.
 FOUND = "__found_by_decontamination__"
 
@@ -46,6 +50,12 @@ def _hash(array: Column, at: Column | int, length: int) -> Column:
     return F.xxhash64(*(F.get(array, at + k if isinstance(at, Column) else F.lit(at + k)) for k in range(length)))
 
 
+def _bytes(*lists: str) -> Column:
+    """What a row with these lists of values takes in memory."""
+    of = lambda c: F.octet_length(F.array_join(F.transform(c, lambda v: v.cast("string")), "")) + F.size(c) * VALUE_BYTES
+    return sum((of(c) for c in lists), F.lit(ROW_BYTES).cast("long"))
+
+
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = 8) -> DataFrame:
     """Distinct windows: length, key, words, items (ids of the items that have it)."""
     items = benchmark.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).where("item is not null and size(w) > 0")
@@ -64,7 +74,7 @@ def find(
     spans (array of word positions [start, length] that windows occupy), items
     (ids of the items with an occurring window)."""
     grams = windows(benchmark, item_id, item_text, n)
-    size = grams.agg(F.sum(F.octet_length(F.array_join("words", " "))).alias("b"), F.collect_set("length").alias("l")).first()
+    size = grams.agg(F.sum(_bytes("words", "items")).alias("b"), F.collect_set("length").alias("l")).first()
     lengths = sorted(size["l"])
     small = (size["b"] or 0) <= BROADCAST_BYTES
     rows = docs.select(
@@ -109,10 +119,11 @@ def hit_positions(spans: Column) -> Column:
 
 def _hit_rows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, n: int, least_items: int) -> tuple[DataFrame, Column]:
     """The documents with hits, written and ready to join with ``docs``, and the
-    condition; the list is broadcast below a checked number of rows."""
+    condition; the list is broadcast below a checked size."""
     found = find(docs, benchmark, id_col, text_col, n=n).where(F.size("items") >= least_items)
     side = Scratch(docs.sparkSession, "decontam").save(found.select(F.struct("id", "text_key", "spans", "items").alias(FOUND)).dropDuplicates([FOUND]), "hits")
-    if side.count() <= BROADCAST_ROWS:
+    size = side.agg(F.sum(_bytes(f"{FOUND}.spans", f"{FOUND}.items"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         side = F.broadcast(side)
     return side, docs[id_col].eqNullSafe(F.col(f"{FOUND}.id")) & (F.xxhash64(docs[text_col]) == F.col(f"{FOUND}.text_key"))
 
