@@ -15,6 +15,13 @@ decontamination      rows with windows of two benchmark items go; from rows
 pii                  personal data become format-preserving pseudonyms
 packing              texts become pieces of at most 2048 tokens in sequences
 ==================== ==========================================================
+
+Defined cases, in all stages: null texts stay null up to packing, where they are
+the end id alone; empty and very long texts are rows like all others; a null
+doc_id keeps its row, also among near copies; repeated rows are one document among
+near copies (one stays) and are kept by the other stages; of equal near copies the
+smallest doc_id stays; empty tables stay empty; columns that ``documents`` has
+besides, whatever their names, are handed on up to packing, which drops them.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontam, jaccard, packing, pii, toxicity
-from glyphmill.llm.queries import PSEUDONYM_KEY, table
+from glyphmill.llm.queries import pseudonym_key, table
 from glyphmill.llm.store import Scratch
 
 
@@ -45,7 +52,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return recounted(pii.pseudonymise(docs, key=PSEUDONYM_KEY))
+    return recounted(pii.pseudonymise(docs, key=pseudonym_key(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
