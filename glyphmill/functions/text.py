@@ -69,8 +69,15 @@ def is_stop_word(term: Column, words: list[str] | None = None) -> Column:
     return term.isin(STOP_WORDS if words is None else words)
 
 
-def bounded_levenshtein(a: Column, b: Column, most: int) -> Column:
-    """The edit distance in characters, ``most + 1`` where it is larger."""
+def bytes_as_characters(text: Column) -> Column:
+    """A string with one character for every byte of the UTF-8 form."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
+def bounded_levenshtein(a: Column, b: Column, most: int, characters: bool = False) -> Column:
+    """The edit distance in bytes, or in characters, ``most + 1`` where it is larger."""
+    if not characters:
+        a, b = bytes_as_characters(a), bytes_as_characters(b)
     d = F.levenshtein(a, b, most)
     return F.when(d < 0, most + 1).otherwise(d)
 

@@ -57,6 +57,11 @@ def asks_for_suggestions(text: str, place: str = "search") -> bool:
     return len(text.strip()) >= (2 if place == "search" else 1)
 
 
+def wants_suggestions(text: Column, place: str = "search") -> Column:
+    """``asks_for_suggestions`` for a column of inputs."""
+    return F.char_length(F.trim(F.coalesce(text, F.lit("")))) >= (2 if place == "search" else 1)
+
+
 def route(address: Column) -> Column:
     """Where an address-bar input leads: (kind, value)."""
     text = F.trim(address)

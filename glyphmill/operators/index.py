@@ -7,8 +7,9 @@ from them or from the tokens by a pre-aggregated groupBy.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -37,9 +38,11 @@ def plain_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def latest(docs: DataFrame, id_col: str = "doc_id", order_col: str = "modified_time") -> DataFrame:
-    """One row of each id, the newest: an upsert by id."""
-    newest = Window.partitionBy(id_col).orderBy(F.col(order_col).desc())
+def latest(docs: DataFrame, id_col: str = "doc_id", order_col: str = "modified_time", tie_col: str | None = None) -> DataFrame:
+    """One row of each id, the newest: an upsert by id. Ties go to the larger
+    ``tie_col``, else to the larger hash of the row."""
+    tie = F.col(tie_col).desc() if tie_col else F.xxhash64(*docs.columns).desc()
+    newest = Window.partitionBy(id_col).orderBy(F.col(order_col).desc(), tie)
     return docs.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
@@ -68,12 +71,22 @@ def tokens(docs: DataFrame, keep_fields: bool = True) -> DataFrame:
 @dataclass
 class Index:
     """docs: documents with word_count; postings(term, doc_id, tf, wtf,
-    positions); terms(term, df, cf); stats: one row n_docs, n_terms, avgdl."""
+    positions); terms(term, df, cf); stats: one row n_docs, n_terms, avgdl;
+    stop_words: the list it was built with, None for the default one."""
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    stop_words: list[str] | None = None
+
+    @cached_property
+    def sizes(self) -> Row:
+        """The row of ``stats``, read once."""
+        return self.stats.first()
+
+    def is_stop_word(self, term: str) -> bool:
+        return term in (T.STOP_WORDS if self.stop_words is None else self.stop_words)
 
     def posting_list(self, term: str) -> DataFrame:
         return self.postings.where(F.col("term") == term)
@@ -85,22 +98,24 @@ class Index:
         if purge:
             docs = self.docs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
             terms = term_table(postings)
-            return Index(docs, postings, terms, corpus_stats(docs, terms))
+            return Index(docs, postings, terms, corpus_stats(docs, terms), self.stop_words)
         left = self.terms.select("term").join(term_table(postings), "term", "left")
-        return Index(self.docs, postings, left.select("term", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("cf", F.lit(0)).alias("cf")), self.stats)
+        return Index(self.docs, postings, left.select("term", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("cf", F.lit(0)).alias("cf")), self.stats, self.stop_words)
 
     def cached(self) -> Index:
-        return Index(*(d.cache() for d in (self.docs, self.postings, self.terms, self.stats)))
+        return Index(*(d.cache() for d in (self.docs, self.postings, self.terms, self.stats)), self.stop_words)
 
 
 def grouped(toks: DataFrame, stop_words: list[str] | None = None, positions: bool = True) -> DataFrame:
-    """(term, doc_id, tf, wtf, positions, stop): the one shuffle of a build. Stop
-    words stay in, without positions, so that word counts come from here too."""
-    stop = T.is_stop_word(F.col("term"), stop_words)
+    """(term, doc_id, tf, wtf, positions, stop): the one shuffle of a build. All
+    stop words of a document are one row, with the empty term and no positions, so
+    that word counts come from here too and frequent words aren't shuffled."""
+    kept = toks.withColumn("term", F.when(T.is_stop_word(F.col("term"), stop_words), "").otherwise(F.col("term")))
+    stop = F.col("term") == ""
     parts = [F.count("*").alias("tf"), F.sum(field_weight(F.col("field"))).alias("wtf")]
     if positions:
         parts.append(F.array_sort(F.collect_list(F.when(~stop, F.col("position")))).alias("positions"))
-    return toks.groupBy("term", "doc_id").agg(*parts).withColumn("stop", stop)
+    return kept.groupBy("term", "doc_id").agg(*parts).withColumn("stop", stop)
 
 
 def term_table(postings: DataFrame) -> DataFrame:
@@ -124,4 +139,4 @@ def build(docs: DataFrame, stop_words: list[str] | None = None, keep_fields: boo
     groups = grouped(tokens(docs, keep_fields), stop_words, positions)
     postings = groups.where(~F.col("stop")).drop("stop")
     sized, terms = word_counts(docs, groups), term_table(postings)
-    return Index(sized, postings, terms, corpus_stats(sized, terms))
+    return Index(sized, postings, terms, corpus_stats(sized, terms), stop_words)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ from .index import Index
 
 #: Query terms are broadcast; a batch of this many distinct ones at most.
 MAX_BATCH_TERMS = 1_000_000
+#: Terms that are looked up one by one, and postings that are broadcast: 100,000
+#: rows of some 100 bytes.
+FEW_TERMS, FEW_HITS = 1_000, 100_000
 FIELDS = {"title": ["title"], "heading": ["heading"], "headings": ["heading"], "keywords": ["keywords"], "description": ["description"], "body": ["body"]}
 
 
@@ -32,7 +36,32 @@ def score_terms(index: Index, wanted: DataFrame, algorithm: str = "bm25", k1: fl
     times, total): one pass over the postings of all queries' terms."""
     hits = index.postings.select("term", "doc_id", "wtf").join(F.broadcast(wanted), "term")
     known = hits.join(F.broadcast(index.terms.join(F.broadcast(wanted.select("term").distinct()), "term").select("term", "df")), "term")
-    sized = known.join(index.docs.select("doc_id", "word_count"), "doc_id").crossJoin(F.broadcast(index.stats))
+    return _summed(known.join(index.docs.select("doc_id", "word_count"), "doc_id").crossJoin(F.broadcast(index.stats)), algorithm, k1, b)
+
+
+def score_few(index: Index, bags: list[list[str]], algorithm: str = "bm25", k1: float = scoring.K1, b: float = scoring.B, spark: SparkSession | None = None) -> DataFrame:
+    """``score_terms`` for bags of at most FEW_TERMS distinct terms.
+
+    The terms' document frequencies are looked up first. They prune the postings to
+    the ranges of the terms, and their sum is the number of postings that will be
+    read: up to FEW_HITS of them are broadcast to the documents' word counts, more
+    are joined as the optimizer likes.
+    """
+    spark = spark or index.postings.sparkSession
+    distinct = sorted({t for bag in bags for t in bag})
+    found = {r["term"]: r["df"] for r in index.terms.where(F.col("term").isin(distinct)).select("term", "df").collect()} if distinct else {}
+    rows = [(i, term, n, len(bag), found[term]) for i, bag in enumerate(bags) for term, n in Counter(bag).items() if term in found]
+    kinds = {"query_id": pa.int32(), "term": pa.string(), "times": pa.int64(), "total": pa.int64(), "df": pa.int64()}
+    wanted = spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(kinds.items())}))
+    hits = index.postings.where(F.col("term").isin(sorted(found))).select("term", "doc_id", "wtf").join(F.broadcast(wanted), "term")
+    if sum(r[4] for r in rows) <= FEW_HITS:
+        hits = F.broadcast(hits)
+    sizes = index.sizes
+    sized = index.docs.select("doc_id", "word_count").join(hits, "doc_id").withColumns({"n_docs": F.lit(sizes["n_docs"]), "avgdl": F.lit(sizes["avgdl"])})
+    return _summed(sized, algorithm, k1, b)
+
+
+def _summed(sized: DataFrame, algorithm: str, k1: float, b: float) -> DataFrame:
     each = sized.select("query_id", "doc_id", "times", "total", term_score(algorithm, k1, b).alias("s"))
     summed = each.groupBy("query_id", "doc_id").agg(F.sum(F.col("s") * F.col("times")).alias("sum"), F.sum("times").alias("matched"), F.first("total").alias("total"))
     scored = summed.where("sum > 0").withColumn("score", scoring.coordination(F.col("sum"), F.col("matched"), F.col("total")))
@@ -46,6 +75,13 @@ def wanted_terms(spark: SparkSession, bags: list[list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id int, term string, times long, total long")
 
 
+def score_bags(index: Index, bags: list[list[str]], algorithm: str = "bm25", k1: float = scoring.K1, b: float = scoring.B) -> DataFrame:
+    """(query_id, doc_id, score, matched, total) of bags of terms."""
+    if sum(map(len, bags)) <= FEW_TERMS:
+        return score_few(index, bags, algorithm, k1, b)
+    return score_terms(index, wanted_terms(index.postings.sparkSession, bags), algorithm, k1, b)
+
+
 def order() -> list[Column]:
     """Score (ties within 1e-6), matched terms, newer first, then id."""
     return [F.round("score", 6).desc(), F.col("matched").desc(), F.col("modified_time").desc(), F.col("doc_id").asc()]
@@ -53,14 +89,13 @@ def order() -> list[Column]:
 
 def ranked(index: Index, text: str, algorithm: str = "bm25", k1: float = scoring.K1, b: float = scoring.B) -> DataFrame:
     """All matches of one query, unordered: doc_id, score, matched, total."""
-    wanted = wanted_terms(index.postings.sparkSession, [Q.bag(Q.parse(text))])
-    return score_terms(index, wanted, algorithm, k1, b).drop("query_id")
+    return score_bags(index, [Q.bag(Q.parse(text))], algorithm, k1, b).drop("query_id")
 
 
 def batch(index: Index, texts: list[str], limit: int = 10, algorithm: str = "bm25") -> DataFrame:
     """The first ``limit`` results of many queries at once: query_id, rank,
     doc_id, score, matched. One job, whatever the number of queries."""
-    scored = score_terms(index, wanted_terms(index.postings.sparkSession, [Q.bag(Q.parse(t)) for t in texts]), algorithm)
+    scored = score_bags(index, [Q.bag(Q.parse(t)) for t in texts], algorithm)
     with_time = scored.join(index.docs.select("doc_id", "modified_time"), "doc_id")
     best = Window.partitionBy("query_id").orderBy(*order())
     return with_time.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score", "matched")
@@ -97,11 +132,9 @@ def positions_of(index: Index, term: str, fields: DataFrame | None = None) -> Da
 
 
 def phrase(index: Index, terms: list[str]) -> DataFrame:
-    """doc_id of documents with the terms at consecutive positions; stop words,
-    which have no postings, keep their place but match anything."""
-    from ..functions.text import STOP_WORDS
-
-    at = [(i, t) for i, t in enumerate(terms) if t not in STOP_WORDS]
+    """doc_id of documents with the terms at consecutive positions; the index's
+    stop words, which have no postings, keep their place but match anything."""
+    at = [(i, t) for i, t in enumerate(terms) if not index.is_stop_word(t)]
     if not at:
         return index.docs.select("doc_id").where("false")
 
@@ -124,22 +157,39 @@ def _field(index: Index, toks: DataFrame | None, name: str, term: str) -> DataFr
 
 
 def satisfying(index: Index, node: Q.Node | None, toks: DataFrame | None = None) -> DataFrame:
-    """doc_id of the documents that satisfy the tree."""
+    """doc_id of the documents that satisfy the tree. The index's stop words, and
+    phrases of nothing else, say nothing: an AND, OR or NOT is what it is without
+    them, and a query of nothing else has no documents."""
+    found = _satisfying(index, node, toks)
+    return index.docs.select("doc_id").where("false") if found is None else found
+
+
+def _satisfying(index: Index, node: Q.Node | None, toks: DataFrame | None) -> DataFrame | None:
     if node is None:
-        return index.docs.select("doc_id").where("false")
+        return None
     if node.kind == "term":
-        return index.posting_list(node.value).select("doc_id")
+        return None if index.is_stop_word(node.value) else index.posting_list(node.value).select("doc_id")
     if node.kind == "phrase":
-        return phrase(index, node.terms)
+        return None if all(map(index.is_stop_word, node.terms)) else phrase(index, node.terms)
     if node.kind == "field":
         return _field(index, toks, node.value, node.left.value)
+    left = _satisfying(index, node.left, toks)
     if node.kind == "not":
-        return index.docs.select("doc_id").join(satisfying(index, node.left, toks), "doc_id", "left_anti")
+        return left if left is None else index.docs.select("doc_id").join(left, "doc_id", "left_anti")
+    negated = node.kind == "and" and node.right.kind == "not"
+    right = _satisfying(index, node.right.left if negated else node.right, toks)
+    if right is None:
+        return left
+    if left is None:
+        return index.docs.select("doc_id").join(right, "doc_id", "left_anti") if negated else right
     if node.kind == "or":
-        return satisfying(index, node.left, toks).union(satisfying(index, node.right, toks)).distinct()
-    if node.right.kind == "not":
-        return satisfying(index, node.left, toks).join(satisfying(index, node.right.left, toks), "doc_id", "left_anti")
-    return satisfying(index, node.left, toks).join(satisfying(index, node.right, toks), "doc_id", "left_semi")
+        return left.union(right).distinct()
+    return left.join(right, "doc_id", "left_anti" if negated else "left_semi")
+
+
+def has_field(node: Q.Node | None) -> bool:
+    """Whether the tree restricts a term to a field that postings don't keep."""
+    return node is not None and (node.kind == "field" and node.value != "category" or has_field(node.left) or has_field(node.right))
 
 
 def boolean(index: Index, text: str, toks: DataFrame | None = None, algorithm: str = "bm25") -> DataFrame:
@@ -148,6 +198,6 @@ def boolean(index: Index, text: str, toks: DataFrame | None = None, algorithm: s
     tree = Q.parse(text)
     found = satisfying(index, tree, toks)
     terms = Q.positive(tree)
-    scores = score_terms(index, wanted_terms(index.postings.sparkSession, [terms]), algorithm).drop("query_id")
+    scores = score_bags(index, [terms], algorithm).drop("query_id")
     joined = found.join(scores, "doc_id", "left")
     return joined.select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matched", F.lit(0)).alias("matched"), F.lit(len(terms)).alias("total"))

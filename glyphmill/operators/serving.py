@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+
+from ..functions.text import bytes_as_characters
 
 #: Entries of the cache; tokens of a bucket and tokens a second.
 CACHE_ENTRIES, BURST, RATE = 256, 40, 20
@@ -107,22 +108,27 @@ def limit_rate(events: DataFrame, key_col: str = "user_id", time_col: str = "ts"
     return dealt.mapInPandas(run, "key string, request long, allowed boolean")
 
 
-def fnv1a(text: str) -> int:
-    h = FNV_OFFSET
-    for byte in text.encode("utf-8", "surrogatepass"):
-        h = (h ^ byte) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
-    return h
+def fnv1a(text: Column) -> Column:
+    """The 64-bit FNV-1a hash of a string's bytes as a struct (high, low) of its
+    halves, so that no product overflows."""
+    chars = F.filter(F.split(bytes_as_characters(text), ""), lambda c: c != "")
+    number = lambda n: F.lit(n).cast("long")
+    start = F.struct(number(FNV_OFFSET >> 32).alias("high"), number(FNV_OFFSET & 0xFFFFFFFF).alias("low"))
+    word, small = 1 << 32, FNV_PRIME & 0xFFFFFFFF  # the prime is 2**40 and a small number
 
+    def step(h: Column, c: Column) -> Column:
+        low = h["low"].bitwiseXOR(F.ascii(c).cast("long"))
+        product = low * small
+        carried = h["high"] * small + F.shiftright(product, 32) + low * (FNV_PRIME >> 32)
+        return F.struct((carried % word).alias("high"), (product % word).alias("low"))
 
-def fnv1a_bucket(text: Column, buckets: int) -> Column:
-    """The bucket of a string in a table of so many buckets."""
+    return F.aggregate(chars, start, step)
 
-    @F.pandas_udf(LongType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: fnv1a(t) % buckets)
 
-    return run(text)
+def fnv1a_bucket(text: Column, buckets: int) -> Column:
+    """The bucket of a string in a table of so many buckets, a power of two of at
+    most 2**32."""
+    return fnv1a(text)["low"] % buckets
 
 
 def bucket_count(n: int) -> int:

@@ -12,7 +12,7 @@ from urllib.parse import unquote_plus
 from pyspark.sql import functions as F
 
 from ..operators import search as S
-from ..operators.index import Index
+from ..operators.index import Index, tokens
 from ..operators.serving import LruCache, table_stats
 from ..operators.snippet import snippet_column
 from ..operators.suggest import FEW_RESULTS, did_you_mean, suggest
@@ -39,9 +39,6 @@ class Api:
     def search(self, q: str, page: int = 1, page_size: int = 10, ranking: str = "bm25", mode: str = "ranked") -> tuple[int, str]:
         page, page_size = S.clamp(page, page_size)
         ranking = "tfidf" if ranking == "tfidf" else "bm25"
-        key = f"{q}|{page}|{page_size}|{ranking}|{mode}"
-        if (held := self.cache.get(key)) is not None:
-            return 200, str(held)
         began = time.time()
         try:
             tree = Q.parse(q)
@@ -49,7 +46,11 @@ class Api:
             code = "QUERY_TOO_LONG" if "length" in str(e) else "INVALID_QUERY_SYNTAX"
             return _bad(code, str(e), 400)
         terms = Q.bag(tree)
-        results = S.boolean(self.index, q) if mode == "boolean" else S.ranked(self.index, q, ranking)
+        if mode == "boolean":
+            # postings hold no fields: the documents' own texts tell where a term stands
+            results = S.boolean(self.index, q, tokens(self.index.docs) if S.has_field(tree) else None, ranking)
+        else:
+            results = S.ranked(self.index, q, ranking)
         results = results.cache()
         total = results.count()
         top = S.page(results, self.index, page, page_size).join(self.index.docs, "doc_id")
@@ -64,7 +65,6 @@ class Api:
             "query": q, "total": total, "page": page, "page_size": page_size, "ranking": ranking, "search_time_ms": round((time.time() - began) * 1000, 2), "did_you_mean": hint,
             "results": [{"id": r["doc_id"], "title": r["title"], "url": f"/page/{r['doc_id']}", "category": r["category"], "score": r["score"], "snippet": r["snippet"]} for r in rows],
         })
-        self.cache.put(key, body)
         return 200, body
 
     def suggestions(self, q: str, limit: int = 5) -> tuple[int, str]:
@@ -115,7 +115,13 @@ class Api:
         if route == "/":
             return 200, json.dumps({"service": "search", "version": API_VERSION, "status": "online", "endpoints": ["/health", "/stats", "/search?q=", "/suggest?q=", "/page/:id"]})
         if route == "/search":
-            return self.search(given.get("q", ""), _integer(given.get("page", ""), 1), _integer(given.get("page_size", ""), 10), given.get("ranking", "bm25"), given.get("mode", "ranked"))
+            # the key is what was asked, letter by letter; only answers are kept
+            if (held := self.cache.get(path)) is not None:
+                return 200, str(held)
+            status, body = self.search(given.get("q", ""), _integer(given.get("page", ""), 1), _integer(given.get("page_size", ""), 10), given.get("ranking", "bm25"), given.get("mode", "ranked"))
+            if status == 200:
+                self.cache.put(path, body)
+            return status, body
         if route == "/suggest":
             return self.suggestions(given.get("q", ""), _integer(given.get("limit", ""), 5))
         if route.startswith("/page/"):

@@ -1,17 +1,22 @@
-"""A small HTTP server over the API, with a token bucket for every client."""
+"""A small HTTP server over the API, with a token bucket for every client and a
+fixed number of workers."""
 
 from __future__ import annotations
 
 import json
+import socket
 import threading
 import time
-from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from concurrent.futures import ThreadPoolExecutor
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 from ..operators.serving import BURST, RATE, take_token
 from .api import Api
 
 #: Buckets that are kept; full ones go first when there are more.
 CLIENTS = 10_000
+#: Fixed value: requests that are answered at once.
+WORKERS = 8
 
 
 class Limiter:
@@ -31,7 +36,30 @@ class Limiter:
             return allowed, int(self.buckets[client][0])
 
 
-def serve(api: Api, host: str = "127.0.0.1", port: int = 8080, burst: int = BURST, rate: int = RATE) -> ThreadingHTTPServer:
+class PooledServer(HTTPServer):
+    """Requests wait for one of ``workers`` threads."""
+
+    def __init__(self, address: tuple[str, int], handler: type[BaseHTTPRequestHandler], workers: int):
+        super().__init__(address, handler)
+        self.pool = ThreadPoolExecutor(workers)
+
+    def process_request(self, request: socket.socket, client_address: tuple) -> None:
+        self.pool.submit(self._answer, request, client_address)
+
+    def _answer(self, request: socket.socket, client_address: tuple) -> None:
+        try:
+            self.finish_request(request, client_address)
+        except OSError:
+            pass  # the client is gone
+        finally:
+            self.shutdown_request(request)
+
+    def server_close(self) -> None:
+        super().server_close()
+        self.pool.shutdown(wait=False)
+
+
+def serve(api: Api, host: str = "127.0.0.1", port: int = 8080, burst: int = BURST, rate: int = RATE, workers: int = WORKERS) -> PooledServer:
     """Starts a server in the background; port 0 takes a free one."""
     limiter = Limiter(burst, rate)
 
@@ -57,6 +85,6 @@ def serve(api: Api, host: str = "127.0.0.1", port: int = 8080, burst: int = BURS
         def log_message(self, *_: object) -> None:
             pass
 
-    server = ThreadingHTTPServer((host, port), Handler)
+    server = PooledServer((host, port), Handler, workers)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     return server

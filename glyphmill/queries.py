@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html as H
 from .functions import text as T
 from .functions.scoring import coordination
 from .operators import client, index, search, serving, snippet, suggest
+from .plans.api import Api
+from .sources import corpus, sinks, store
+from .sources.shared import app_dir
+from .streaming import updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,12 +51,27 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.parse_pages(table(spark, sf_dir, "pages"))
 
 
-def text_index(spark: SparkSession, sf_dir: str, positions: bool = False) -> index.Index:
-    return index.build(documents(spark, sf_dir), keep_fields=False, positions=positions)
+def index_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The stored index of a table; built by the first query that asks for it."""
+    path = f"{app_dir(spark)}/indexes/{name}-{zlib.crc32(sf_dir.encode()):08x}"
+    if not store.versions(spark, path):
+        if name == "documents":
+            store.build(documents(spark, sf_dir), path, keep_fields=False)
+        else:
+            store.build(pages(spark, sf_dir), path)
+    return path
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return store.load(spark, index_path(spark, sf_dir, "documents"))
 
 
 def page_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build(pages(spark, sf_dir))
+    return store.load(spark, index_path(spark, sf_dir, "pages"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- parts of the SQL -------------------------------------------------------
@@ -186,7 +208,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DOCS} SELECT doc_id, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS positions FROM tokens WHERE term = 'thanea' GROUP BY doc_id")
 def positions_of_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_index(spark, sf_dir, positions=True).posting_list("thanea")
+    found = text_index(spark, sf_dir).posting_list("thanea")
     return found.select("doc_id", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
 
 
@@ -347,7 +369,7 @@ def boolean_not(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_boolean_sql("l.doc_id IN (SELECT a.doc_id FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'eriner' AND b.term = 'thanea')", "eriner thanea"))
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(search.boolean(text_index(spark, sf_dir, positions=True), PHRASE))
+    return shown(search.boolean(text_index(spark, sf_dir), PHRASE))
 
 
 @query(f"WITH {_PAGE_INDEX} SELECT DISTINCT doc_id FROM tokens WHERE term = 'thnd' AND weight = 4.0")
@@ -356,6 +378,25 @@ def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.boolean(index.build(docs), "title:thnd", index.tokens(docs)).select("doc_id")
 
 
+@query(_boolean_sql(f"{_has('clown')} AND NOT {_has('loser')}", "the clown"))
+def boolean_stop_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop words restrict nothing, whether they are asked for or ruled out."""
+    return shown(search.boolean(text_index(spark, sf_dir), "the AND clown AND NOT (loser OR the)"))
+
+
+@query("SELECT doc_id, CAST(0 AS DOUBLE) AS score, CAST(0 AS BIGINT) AS matched FROM documents WHERE false")
+def null_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query without a term has no rows, and is no error."""
+    return shown(search.ranked(text_index(spark, sf_dir), "()"))
+
+
+@query(f"WITH {_INDEX}, {_scored(_BAG)} SELECT doc_id, round(score, 4) AS score, matched FROM scored ORDER BY {_ORDER} LIMIT 50")
+def page_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages start at 1 and have 50 rows at most."""
+    ix = text_index(spark, sf_dir)
+    return shown(search.page(search.ranked(ix, TEXT), ix, page=0, page_size=99))
+
+
 # --- suggestions ------------------------------------------------------------
 
 
@@ -370,28 +411,148 @@ def did_you_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.did_you_mean(text_index(spark, sf_dir), "aeaou")
 
 
-@query(f"WITH {_INDEX}, near AS (SELECT term, CAST(least(levenshtein(term, 'thanea'), 3) AS INT) AS edits FROM terms WHERE strlen(term) = length(term)) SELECT term, edits FROM near")
+@query(f"WITH {_INDEX} SELECT term, CAST(least(levenshtein(term, 'thanea'), 3) AS INT) AS edits FROM terms")
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distances are in characters; the SQL's are in bytes, so both sides
-    look at the words where these are the same."""
-    terms = text_index(spark, sf_dir).terms.where(F.octet_length("term") == F.char_length("term"))
-    return terms.select("term", T.bounded_levenshtein(F.col("term"), F.lit("thanea"), 2).alias("edits"))
+    """Edit distances in bytes."""
+    return text_index(spark, sf_dir).terms.select("term", T.bounded_levenshtein(F.col("term"), F.lit("thanea"), 2).alias("edits"))
 
 
 @query()
 def levenshtein_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edit distances of all terms, in characters; no SQL here counts these."""
-    return text_index(spark, sf_dir).terms.select("term", T.bounded_levenshtein(F.col("term"), F.lit("thanea"), 2).alias("edits"))
+    """Edit distances in characters; no SQL here counts these."""
+    return text_index(spark, sf_dir).terms.select("term", T.bounded_levenshtein(F.col("term"), F.lit("thanea"), 2, characters=True).alias("edits"))
+
+
+@query(f"WITH {_INDEX} SELECT term, CAST(cf AS BIGINT) AS cf FROM (SELECT * FROM terms WHERE starts_with(term, 're') ORDER BY term LIMIT 256)")
+def suggest_unlimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggest.suggest(text_index(spark, sf_dir), "re", -1)
+
+
+@query(f"WITH {_INDEX}, asked(word) AS (VALUES ('thanea'), ('clown'), ('nowhere')) SELECT word, CAST(coalesce(cf, 0) AS BIGINT) AS cf FROM asked LEFT JOIN terms ON term = word")
+def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = text_index(spark, sf_dir)
+    one = lambda w: suggest.word_frequency(ix, w).select(F.lit(w).alias("word"), "cf")
+    return one("thanea").union(one("clown")).union(one("nowhere"))
+
+
+# --- store ------------------------------------------------------------------
+
+
+@query(f"""WITH {_INDEX} SELECT 'docs' AS name, count(*) AS n_rows FROM documents UNION ALL SELECT 'postings', count(*) FROM postings UNION ALL SELECT 'terms', count(*) FROM terms UNION ALL SELECT 'stats', 1""")
+def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the stored tables as the manifest has them, after a check of all rows."""
+    path = index_path(spark, sf_dir, "documents")
+    store.load(spark, path, verify=True)
+    told = store.manifest(spark, path)["tables"]
+    return spark.createDataFrame([(name, told[name]["rows"]) for name in store.TABLES], "name string, n_rows long")
+
+
+_CHANGED = """changed AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'zzupdated ' || coalesce(text, '') ELSE text END AS text, source FROM documents
+UNION ALL SELECT doc_id + 1000000000, 'zzadded zzadded', source FROM documents WHERE doc_id % 10 = 1)"""
+
+
+def _updated(spark: SparkSession, sf_dir: str) -> index.Index:
+    docs, path = documents(spark, sf_dir), _scratch(spark, "updates")
+    store.build(docs, path, keep_fields=False)
+    changed = docs.where("doc_id % 3 = 0").withColumn("body_text", F.concat(F.lit("zzupdated "), "body_text"))
+    added = docs.where("doc_id % 10 = 1").withColumns({"doc_id": F.col("doc_id") + 1_000_000_000, "body_text": F.lit("zzadded zzadded")})
+    for epoch, batch in enumerate((changed, changed, added)):
+        updates.apply_batch(batch, max(0, epoch - 1), path)
+    return store.load(spark, path)
+
+
+@query(f"WITH {_CHANGED}, {_tokens('changed')} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tokens WHERE term NOT IN ({_STOP}) GROUP BY term")
+def updated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of a stored index after two micro-batches, one of them repeated."""
+    return _updated(spark, sf_dir).terms
+
+
+@query(f"WITH {_CHANGED}, {_tokens('changed')} SELECT term, doc_id, count(*) AS tf FROM tokens WHERE term NOT IN ({_STOP}) GROUP BY ALL")
+def updated_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _updated(spark, sf_dir).postings.select("term", "doc_id", "tf")
+
+
+@query(f"WITH {_INDEX} SELECT term, coalesce(count(p.doc_id), 0) AS df, CAST(coalesce(sum(tf), 0) AS BIGINT) AS cf FROM terms LEFT JOIN (SELECT * FROM postings WHERE doc_id % 2 = 1) p USING (term) GROUP BY term")
+def removed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms after a removal that leaves documents and terms in place."""
+    ix = text_index(spark, sf_dir)
+    return ix.without(ix.docs.where("doc_id % 2 = 0")).terms
+
+
+@query(f"WITH {_INDEX} SELECT count(*) AS n_docs, (SELECT count(DISTINCT term) FROM postings WHERE doc_id % 2 = 1) AS n_terms, round(avg(word_count), 4) AS avgdl FROM lengths WHERE doc_id % 2 = 1")
+def purged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = text_index(spark, sf_dir)
+    return ix.without(ix.docs.where("doc_id % 2 = 0"), purge=True).stats.select("n_docs", "n_terms", F.round("avgdl", 4).alias("avgdl"))
+
+
+@query(f"WITH {_DOCS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tokens WHERE term NOT IN ('thanea', 'clown', 'the') GROUP BY term")
+def stop_word_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index with the stop words of a file."""
+    path = _scratch(spark, "stop-words")
+    spark.createDataFrame([("  thanea\n\nclown\nthe",)], "value string").coalesce(1).write.text(path)
+    return index.build(documents(spark, sf_dir), corpus.stop_words(spark, path), keep_fields=False, positions=False).terms
+
+
+# --- corpus and sinks -------------------------------------------------------
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS doc_id, '/page/' || p_partkey AS path, p_name AS title, p_brand AS category, p_type || ' & ' || p_brand AS description, replace(p_type, ' ', '|') AS keywords, p_name || '|Related' AS headings,
+'/page/' || p_size || '|/page/' || (p_size + 1) AS links FROM part""")
+def generated_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records rendered as pages with meta tags, and parsed again."""
+    records = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("category"), F.replace("p_type", F.lit(" "), F.lit(", ,")).alias("keywords"),
+        F.concat("p_type", F.lit(" &amp; "), "p_brand").alias("description"), F.col("p_name").alias("heading"), F.col("p_type").alias("content"), F.col("p_size").alias("link1"), (F.col("p_size") + 1).alias("link2"),
+    )
+    found = index.parse_pages(corpus.generated_pages(records))
+    return found.select("doc_id", "path", "title", "category", "description", *(F.array_join(c, "|").alias(c) for c in ("keywords", "headings", "links")))
+
+
+@query("SELECT 'some' AS asked, doc_id FROM documents WHERE contains(lower(source), 'rc7') OR contains(lower(lang), 'rc7') UNION ALL SELECT 'none', doc_id FROM documents")
+def mock_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offline source: matches, or all rows if there is none."""
+    docs = table(spark, sf_dir, "documents")
+    one = lambda name, text: corpus.canned_search(docs, text, "source", "lang").select(F.lit(name).alias("asked"), "doc_id")
+    return one("some", "RC7").union(one("none", "no such text"))
+
+
+_LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'click' THEN 'DEBUG' ELSE 'INFO' END"
+
+
+@query(f"""SELECT CAST(json_object('timestamp', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), 'level', {_LEVEL}, 'event_id', event_id, 'user_id', user_id) AS VARCHAR) AS value FROM events WHERE event_type <> 'click'""")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.log_lines(table(spark, sf_dir, "events").select("ts", F.expr(_LEVEL).alias("level"), "event_id", "user_id"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+def bookmark_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks written as JSON and read again."""
+    path = _scratch(spark, "bookmarks")
+    sinks.export_json(client.bookmarked(table(spark, sf_dir, "documents").select("doc_id", "source"), _bookmarks(spark, sf_dir), "doc_id"), path)
+    return spark.read.schema("doc_id long, source string").json(path)
+
+
+@query("SELECT page_id, url || ' a&b%zz%' AS decoded FROM pages")
+def url_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.replace(F.replace("url", F.lit("/"), F.lit("%2F")), F.lit("."), F.lit("%2e")), F.lit("+a%26b%zz%"))
+    return table(spark, sf_dir, "pages").select("page_id", T.decode_url(raw).alias("decoded"))
+
+
+@query("SELECT doc_id, CAST(json_object('text', text) AS VARCHAR) AS json FROM documents")
+def json_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("text"), {"ignoreNullFields": "false"}).alias("json"))
 
 
 # --- client and serving -----------------------------------------------------
 
 
-@query(f"WITH {_INDEX}, {_scored(_BAG)} SELECT s.doc_id, category, round(score, 4) AS score FROM scored s JOIN lengths l ON l.doc_id = s.doc_id WHERE contains(lower(category), 'src1')")
+@query(f"""WITH {_INDEX}, {_scored(_BAG)}, page AS (SELECT * FROM scored ORDER BY {_ORDER} LIMIT 50)
+SELECT s.doc_id, category, round(score, 4) AS score FROM page s JOIN lengths l ON l.doc_id = s.doc_id WHERE contains(lower(category), 'src1')""")
 def category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter looks at the current page only."""
     ix = text_index(spark, sf_dir)
-    found = search.ranked(ix, TEXT).join(ix.docs.select("doc_id", "category"), "doc_id")
-    return client.in_category(found, "SRC1").select("doc_id", "category", F.round("score", 4).alias("score"))
+    shown = search.page(search.ranked(ix, TEXT), ix, page_size=50).join(ix.docs.select("doc_id", "category"), "doc_id")
+    return client.in_category(shown, "SRC1").select("doc_id", "category", F.round("score", 4).alias("score"))
 
 
 def _bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,24 +591,98 @@ def related_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return client.related(table(spark, sf_dir, "pages"), 2, "page_id").select("page_id", "url")
 
 
-@query("SELECT doc_id, lang, source FROM documents WHERE contains(lower(source), 'rc7') OR contains(lower(lang), 'fr')")
+@query("SELECT doc_id, lang, source FROM documents WHERE contains(lower(source), 'rc7') OR contains(lower(lang), 'rc7')")
 def panel_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return client.panel_search(table(spark, sf_dir, "documents"), "RC7", "source").select("doc_id", "lang", "source").union(
-        client.panel_search(table(spark, sf_dir, "documents").where("not contains(lower(source), 'rc7')"), "FR", "lang").select("doc_id", "lang", "source"))
+    return client.panel_search(table(spark, sf_dir, "documents"), "RC7", "source", "lang").select("doc_id", "lang", "source")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(source), 'e') OR contains(lower(lang), 'e')")
+def panel_search_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return client.panel_search(table(spark, sf_dir, "documents"), "E", "source", "lang").select("doc_id", "lang")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id % 3 <> 0 ORDER BY ts DESC, event_id DESC LIMIT 100")
+def history_incognito(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return client.newest(table(spark, sf_dir, "events"), "ts", "event_id", incognito=F.col("user_id") % 3 == 0).select("event_id", "user_id")
+
+
+@query("SELECT DISTINCT user_id AS doc_id FROM events WHERE event_type = 'purchase' ORDER BY doc_id LIMIT 5")
+def bookmarks_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return client.bookmarks_bar(_bookmarks(spark, sf_dir), "doc_id")
+
+
+@query("SELECT conv_id, turn, length(trim(coalesce(text, ''), ' ')) >= 2 AS in_search, length(trim(coalesce(text, ''), ' ')) >= 1 AS in_omnibox FROM conversations")
+def suggestion_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", client.wants_suggestions(F.col("text")).alias("in_search"), client.wants_suggestions(F.col("text"), "omnibox").alias("in_omnibox"))
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'page' WHEN 1 THEN 'search' WHEN 2 THEN 'bookmarks' WHEN 3 THEN 'admin' ELSE 'search' END AS kind,
+CASE page_id % 5 WHEN 0 THEN CAST(page_id AS VARCHAR) WHEN 1 THEN 'a b' || page_id WHEN 4 THEN 'some words ' || page_id ELSE '' END AS value FROM pages""")
+def address_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_, k = F.col("page_id").cast("string"), F.col("page_id") % 5
+    typed = F.when(k == 0, F.concat(F.lit("page/"), id_)).when(k == 1, F.concat(F.lit("search?q=a+b"), id_)).when(k == 2, "app://bookmarks").when(k == 3, " admin ").otherwise(F.concat(F.lit(" some words "), id_))
+    return table(spark, sf_dir, "pages").select("page_id", client.route(typed).alias("r")).select("page_id", "r.kind", "r.value")
+
+
+@query("SELECT n_name AS id, CASE n_name WHEN 'PERU' THEN 'changed' ELSE 'tab' END AS title FROM nation WHERE n_name <> 'FRANCE' UNION ALL SELECT 'new', 'tab'")
+def tab_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tabs after one was opened, one changed and one closed."""
+    tabs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), F.lit("tab").alias("title"))
+    opened = client.open_tab(tabs, spark.range(1).select(F.lit("new").alias("id"), F.lit("tab").alias("title")))
+    return client.close_tab(client.update_tab(opened, "PERU", title="changed"), "FRANCE")
+
+
+_REPLAY = """WITH e AS (SELECT event_type || (user_id // 300) % 16 AS node, event_id AS request, CAST(user_id AS VARCHAR) AS key, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS prev FROM events),
+replayed AS (SELECT a.node, a.request, a.key, a.prev IS NOT NULL AND count(DISTINCT b.key) < 256 AS hit FROM e a LEFT JOIN e b ON a.node = b.node AND b.request > a.prev AND b.request < a.request GROUP BY a.node, a.request, a.key, a.prev)"""
 
 
-@query("""WITH e AS (SELECT event_type AS node, event_id AS request, CAST(user_id AS VARCHAR) AS key, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS prev FROM events)
-SELECT a.node, a.request, a.key, a.prev IS NOT NULL AND count(DISTINCT b.key) < 256 AS hit FROM e a LEFT JOIN e b ON a.node = b.node AND b.request > a.prev AND b.request < a.request GROUP BY a.node, a.request, a.key, a.prev""")
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = F.concat("event_type", (F.floor(F.col("user_id") / 300) % 16).cast("string"))
+    return serving.replay_cache(table(spark, sf_dir, "events").withColumn("node", node), "node", "user_id", "event_id")
+
+
+@query(f"{_REPLAY} SELECT * FROM replayed")
 def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.replay_cache(table(spark, sf_dir, "events"), "event_type", "user_id", "event_id")
+    """Caches of many serving nodes, each with its own requests."""
+    return _replayed(spark, sf_dir)
 
 
-@query()
+@query(f"{_REPLAY} SELECT node, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 4) AS rate FROM replayed GROUP BY node UNION ALL SELECT 'idle', 100.0")
+def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _replayed(spark, sf_dir).groupBy("node").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    idle = spark.range(1).select(F.lit("idle").alias("node"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("misses"))
+    return counts.union(idle).select("node", F.round(serving.hit_rate(F.col("hits"), F.col("misses")), 4).alias("rate"))
+
+
+def _bucket_sql(burst: int, rate: int) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS request, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
+r AS (SELECT key, request, k, s, {burst - 1} AS tokens, true AS allowed FROM e WHERE k = 1
+UNION ALL SELECT key, request, k, s, CAST(CASE WHEN a >= 1 THEN a - 1 ELSE a END AS INT), a >= 1 FROM (SELECT e.*, least({burst}, r.tokens + (e.s - r.s) * {rate}) AS a FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1))
+SELECT key, request, allowed FROM r"""
+
+
+@query(_bucket_sql(serving.BURST, serving.RATE))
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.limit_rate(table(spark, sf_dir, "events"))
 
 
-@query()
+@query(_bucket_sql(3, 0))
+def token_bucket_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small buckets that nothing refills, so that requests are turned away."""
+    return serving.limit_rate(table(spark, sf_dir, "events"), burst=3, rate=0)
+
+
+_FNV = f"""hashed AS (SELECT term, list_reduce(list_transform(range(1, strlen(term) + 1), lambda i: CAST(16 * (strpos('0123456789ABCDEF', substr(hex(encode(term)), 2 * i - 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(hex(encode(term)), 2 * i, 1)) - 1 AS HUGEINT)),
+  lambda h, b: (xor(h, b) * {serving.FNV_PRIME}) % 18446744073709551616, CAST({serving.FNV_OFFSET} AS HUGEINT)) AS h FROM terms)"""
+
+
+@query(f"WITH {_INDEX}, {_FNV} SELECT term, CAST(h // 4294967296 AS BIGINT) AS high, CAST(h % 4294967296 AS BIGINT) AS low FROM hashed")
+def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_index(spark, sf_dir).terms.select("term", serving.fnv1a(F.col("term")).alias("h")).select("term", "h.high", "h.low")
+
+
+@query(f"""WITH {_INDEX}, {_FNV}, sized AS (SELECT count(*) AS n, CAST(4096 * power(2, ceil(log2(greatest(1, (count(*) - 1) / 0.75 / 4096)))) AS BIGINT) AS buckets FROM terms)
+SELECT n AS unique_terms, buckets, n / buckets AS load_factor, n - (SELECT count(DISTINCT h % buckets) FROM hashed) AS hash_collisions FROM sized""")
 def fnv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.table_stats(text_index(spark, sf_dir).terms)
 
@@ -459,20 +694,45 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("doc_id", snippet.snippet_column(F.col("body_text"), PAGE_TEXT).alias("snippet"))
 
 
-@query()
+@query(f"""WITH {_PAGE_INDEX}, {_scored('thnd rest stead')} SELECT s.doc_id AS id, title, '/page/' || s.doc_id AS url, 'General' AS category, round(score, 4) AS score, (SELECT count(*) FROM scored) AS total
+FROM scored s JOIN titles ON page_id = s.doc_id ORDER BY {_ORDER.replace("doc_id", "s.doc_id")} LIMIT 10""")
 def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = page_index(spark, sf_dir)
-    top = search.page(search.ranked(ix, PAGE_TEXT), ix).join(ix.docs, "doc_id")
-    row = F.struct(F.col("doc_id").alias("id"), "title", F.concat(F.lit("/page/"), F.col("doc_id").cast("string")).alias("url"), "category", F.round("score", 4).alias("score"), snippet.snippet_column(F.col("body_text"), PAGE_TEXT).alias("snippet"))
-    return top.select("doc_id", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))
+    """The rows of the API's answer to a search."""
+    told = json.loads(Api(page_index(spark, sf_dir)).handle("GET", f"/search?q={PAGE_TEXT.replace(' ', '+')}")[1])
+    rows = [(r["id"], r["title"], r["url"], r["category"], r["score"], told["total"]) for r in told["results"]]
+    return spark.createDataFrame(rows, "id long, title string, url string, category string, score double, total long")
+
+
+@query(f"""WITH {_PAGE_INDEX} SELECT page_id AS id, title, '' AS description, 'General' AS category, body_text, word_count FROM titles JOIN bodies USING (page_id) JOIN lengths ON doc_id = page_id WHERE page_id IN (1, 7)""")
+def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The API's answers to lookups by id."""
+    api = Api(page_index(spark, sf_dir))
+    told = [json.loads(api.handle("GET", f"/page/{i}")[1]) for i in (1, 7)]
+    schema = "id long, title string, description string, category string, body_text string, word_count long"
+    return spark.createDataFrame([tuple(t[c.split()[0]] for c in schema.split(", ")) for t in told], schema)
+
+
+@query(f"""WITH {_INDEX}, {_FNV}, sized AS (SELECT count(*) AS n, CAST(4096 * power(2, ceil(log2(greatest(1, (count(*) - 1) / 0.75 / 4096)))) AS BIGINT) AS buckets FROM terms)
+SELECT (SELECT count(*) FROM documents) AS documents_indexed, n AS unique_terms, round(n / buckets, 4) AS load_factor, n - (SELECT count(DISTINCT h % buckets) FROM hashed) AS hash_collisions, 'ok' AS status FROM sized""")
+def stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The API's statistics and health."""
+    api = Api(text_index(spark, sf_dir))
+    told, health = (json.loads(api.handle("GET", f"/api/v1/{route}")[1]) for route in ("stats", "health"))
+    row = (told["documents_indexed"], told["unique_terms"], told["load_factor"], told["hash_collisions"], health["status"])
+    return spark.createDataFrame([row], "documents_indexed long, unique_terms long, load_factor double, hash_collisions long, status string")
+
+
+@query(f"WITH {_INDEX} SELECT term FROM (SELECT * FROM (SELECT * FROM terms WHERE starts_with(term, 'an') ORDER BY term LIMIT 256) ORDER BY cf DESC, term LIMIT 5)")
+def suggest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = json.loads(Api(text_index(spark, sf_dir)).handle("GET", "/suggest?q=an")[1])
+    return spark.createDataFrame([(t,) for t in told["suggestions"]], "term string")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def requests_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return updates.windowed_counts(table(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 @query("SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS r FROM documents) WHERE r = 1")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), F.col("doc_id").desc())
-    return table(spark, sf_dir, "documents").withColumn("r", F.row_number().over(newest)).where("r = 1").select("doc_id", "source", "n_chars")
+    return index.latest(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id").select("doc_id", "source", "n_chars")
