@@ -7,41 +7,19 @@ table, never the tasks that made it.
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Folder, app_dir
+
 
 #: Bytes that a broadcast side may take in memory, and of a row besides its values.
 BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; where none is set, a temporary one in local
-    mode (tests), and an error on a cluster, whose machines share no such folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        if not held and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        found = held.rsplit("/", 1)[0] if held else "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with its scheme, as it is the same on all machines."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    return re.sub("^file:/(?!//)", "file:///", whole)
-
-
 def is_small(df: DataFrame, value_bytes: int) -> bool:
     """Whether a written table, whose rows have ``value_bytes`` at most, may be
     broadcast: its rows are counted first."""
@@ -58,7 +36,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{app_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -66,22 +44,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.root}/{name}")
-
-
-def _root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/glyphmill/{spark.sparkContext.applicationId}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        Folder(self.spark, self.root).delete(name)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all tables that this application wrote; results that have not been
-    written yet can't be read after that."""
-    _delete(spark, _root(spark))
+    """Deletes all tables that this application's operators wrote; results that have
+    not been written yet can't be read after that."""
+    Folder(spark, f"{app_dir(spark)}/llm").delete()
 
 
 def release() -> None:

@@ -43,7 +43,8 @@ import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch, qualified, small_side
+from ..sources.shared import Folder
+from .store import Scratch, small_side
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Payload bytes after which an archive is closed, bytes of neighbouring records
@@ -338,7 +339,7 @@ def write_archives(
 ) -> None:
     """Writes archives of the pages into ``path``/_archives, and at ``path`` the
     table (archive, bytes, records) that lists them."""
-    folder = qualified(pages.sparkSession, f"{path}/_archives")
+    folder = Folder(pages.sparkSession, f"{path}/_archives").qualified()
     wide = archive_bytes > 1 << 31 if zip64 is None else zip64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

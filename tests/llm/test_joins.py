@@ -168,6 +168,41 @@ def test_near_copies_of_the_pipeline(spark, sf):
     assert kept == sorted({i for i, _, c in brute(rows, n=5, percent=80) if i == c or c is None}) and 2 not in kept
 
 
+CLASHING = "id int, label int, row int, key int, size int, print int, start int, length int, component int, matches int, seat int, h int"
+
+
+def odd_documents(spark):
+    """Null, empty, very long and repeated texts, null ids, columns of clashing names."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words[:-1], "other"])), (4, None), (5, ""), (6, "long word " * 60_000), (7, "call +1 (017) 555-7713 now"), (7, "call +1 (017) 555-7713 now"), (None, "no id here"), (8, "-- !!")]
+    names = [c.split()[0] for c in CLASHING.split(", ")]
+    rows = [(i, t, None if i == 4 else "en", None if i == 5 else "s", len(t or ""), *range(len(names))) for i, t in texts]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}")
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_take_any_rows(spark, sf, number):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    name, stage = corpus_pipeline.STAGES[number]
+    out = stage(spark, docs, sf)
+    rows = out.collect()
+    assert stage(spark, docs.where("false"), sf).count() == 0
+    ids = sorted((r["doc_id"] for r in rows), key=repr)
+    if name == "packing":
+        assert sorted(set(ids), key=repr) == sorted({1, 2, 3, 4, 5, 6, 7, 8, None}, key=repr) and {r["length"] for r in rows if r["doc_id"] in (4, 5)} == {1}
+        assert sum(r["length"] for r in rows if r["doc_id"] == 6) > 100_000 and sum(r["doc_id"] == 7 for r in rows) == 2
+        return
+    assert out.columns == docs.columns and out.schema == docs.schema
+    assert ids == sorted([1, 4, 5, 6, 7, 8, None] if name == "ngram_jaccard" else [1, 2, 3, 4, 5, 6, 7, 7, 8, None], key=repr)
+    before = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    changed = {(r["doc_id"], r["text"]) for r in rows} - before
+    assert {i for i, _ in changed} == ({7} if name == "pii" else set())
+    kept = {r["doc_id"]: tuple(r)[5:] for r in rows}
+    assert set(kept.values()) == {tuple(range(12))}
+
+
 def test_scratch_is_cleared(spark):
     held = Scratch(spark, "test").save(spark.range(3).toDF("id"), "t")
     assert held.count() == 3
