@@ -1,6 +1,9 @@
+import re
+import zlib
+
 import pytest
 
-from glyphmill.queries import ORACLES, QUERIES, text_index
+from glyphmill.queries import ORACLES, PAGE_TEXT, QUERIES, text_index
 from tests.oracle import both
 
 
@@ -30,6 +33,27 @@ def test_edits_of_all_terms(spark, sf):
     assert {tuple(r) for r in QUERIES["levenshtein_all_terms"](spark, sf).collect()} == {(t, min(edits(t, "thanea"), 3)) for t in terms}
 
 
+def test_checksums(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["crc32"] for r in QUERIES["crc32_checksums"](spark, sf).collect()} == {i: zlib.crc32(t.encode()) for i, t in texts.items()}
+
+
+def test_snippets(spark, sf):
+    """Every snippet is a window of the body with as many term starts as any, marked."""
+    bodies = {r["doc_id"]: r["body_text"] for r in QUERIES["html_body_text"](spark, sf).collect()}
+    rows = QUERIES["snippets"](spark, sf).collect()
+    assert rows
+    for r in rows:
+        body, shown = bodies[r["doc_id"]], r["snippet"]
+        plain = re.sub("</?em>", "", shown).removeprefix("..." if shown.startswith("...") else "").removesuffix("...")
+        at = body.find(plain)
+        assert at >= 0 and len(plain) <= 150 and (at == 0) == (not shown.startswith("...")) and (at + len(plain) == len(body)) == (not shown.endswith("..."))
+        count = lambda text: sum(len(re.findall(re.escape(t), text)) for t in PAGE_TEXT.split())
+        most = max(count(body[k : k + 150]) for k in range(0, len(body), 20))
+        assert count(plain) >= most - 2 and shown.count("<em>") <= count(plain.lower())
+        assert all(m.lower() in PAGE_TEXT.split() for m in re.findall("<em>(.*?)</em>", shown))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
