@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bound_batches
+
 # Names of HTML elements by role, and words of class, id and role
 # attributes that hint at what a container holds.
 BLOCK_TAGS = frozenset(
@@ -390,6 +392,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """(id, url, text) of every row's whole page."""
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "url")]
 

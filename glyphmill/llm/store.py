@@ -31,10 +31,23 @@ def small_side(df: DataFrame, value_bytes: int) -> DataFrame:
     return F.broadcast(df) if is_small(df, value_bytes) else df
 
 
+#: Bytes of texts that go to a Python worker at once. A column vector doubles when it
+#: grows, so a batch takes some three times that outside the heap, in every task.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of Arrow batches to BATCH_BYTES, unless it is lower."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING)) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables of one query under a folder of its own in the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{app_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
