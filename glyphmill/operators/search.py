@@ -32,11 +32,11 @@ def term_score(algorithm: str, k1: float = scoring.K1, b: float = scoring.B) ->
 
 
 def score_terms(index: Index, wanted: DataFrame, algorithm: str = "bm25", k1: float = scoring.K1, b: float = scoring.B) -> DataFrame:
-    """(query_id, doc_id, score, matched, total) for ``wanted`` (query_id, term,
-    times, total): one pass over the postings of all queries' terms."""
+    """(query_id, doc_id, score, matched, total, modified_time) for ``wanted``
+    (query_id, term, times, total): one pass over the postings of all queries' terms."""
     hits = index.postings.select("term", "doc_id", "wtf").join(F.broadcast(wanted), "term")
     known = hits.join(F.broadcast(index.terms.join(F.broadcast(wanted.select("term").distinct()), "term").select("term", "df")), "term")
-    return _summed(known.join(index.docs.select("doc_id", "word_count"), "doc_id").crossJoin(F.broadcast(index.stats)), algorithm, k1, b)
+    return _summed(known.join(index.docs.select("doc_id", "word_count", "modified_time"), "doc_id").crossJoin(F.broadcast(index.stats)), algorithm, k1, b)
 
 
 def score_few(index: Index, bags: list[list[str]], algorithm: str = "bm25", k1: float = scoring.K1, b: float = scoring.B, spark: SparkSession | None = None) -> DataFrame:
@@ -57,15 +57,17 @@ def score_few(index: Index, bags: list[list[str]], algorithm: str = "bm25", k1:
     if sum(r[4] for r in rows) <= FEW_HITS:
         hits = F.broadcast(hits)
     sizes = index.sizes
-    sized = index.docs.select("doc_id", "word_count").join(hits, "doc_id").withColumns({"n_docs": F.lit(sizes["n_docs"]), "avgdl": F.lit(sizes["avgdl"])})
+    sized = index.docs.select("doc_id", "word_count", "modified_time").join(hits, "doc_id").withColumns({"n_docs": F.lit(sizes["n_docs"]), "avgdl": F.lit(sizes["avgdl"])})
     return _summed(sized, algorithm, k1, b)
 
 
 def _summed(sized: DataFrame, algorithm: str, k1: float, b: float) -> DataFrame:
-    each = sized.select("query_id", "doc_id", "times", "total", term_score(algorithm, k1, b).alias("s"))
-    summed = each.groupBy("query_id", "doc_id").agg(F.sum(F.col("s") * F.col("times")).alias("sum"), F.sum("times").alias("matched"), F.first("total").alias("total"))
+    each = sized.select("query_id", "doc_id", "times", "total", "modified_time", term_score(algorithm, k1, b).alias("s"))
+    summed = each.groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("s") * F.col("times")).alias("sum"), F.sum("times").alias("matched"), F.first("total").alias("total"), F.first("modified_time").alias("modified_time")
+    )
     scored = summed.where("sum > 0").withColumn("score", scoring.coordination(F.col("sum"), F.col("matched"), F.col("total")))
-    return scored.select("query_id", "doc_id", "score", "matched", "total")
+    return scored.select("query_id", "doc_id", "score", "matched", "total", "modified_time")
 
 
 def wanted_terms(spark: SparkSession, bags: list[list[str]]) -> DataFrame:
@@ -76,7 +78,7 @@ def wanted_terms(spark: SparkSession, bags: list[list[str]]) -> DataFrame:
 
 
 def score_bags(index: Index, bags: list[list[str]], algorithm: str = "bm25", k1: float = scoring.K1, b: float = scoring.B) -> DataFrame:
-    """(query_id, doc_id, score, matched, total) of bags of terms."""
+    """(query_id, doc_id, score, matched, total, modified_time) of bags of terms."""
     if sum(map(len, bags)) <= FEW_TERMS:
         return score_few(index, bags, algorithm, k1, b)
     return score_terms(index, wanted_terms(index.postings.sparkSession, bags), algorithm, k1, b)
@@ -88,7 +90,8 @@ def order() -> list[Column]:
 
 
 def ranked(index: Index, text: str, algorithm: str = "bm25", k1: float = scoring.K1, b: float = scoring.B) -> DataFrame:
-    """All matches of one query, unordered: doc_id, score, matched, total."""
+    """All matches of one query, unordered: doc_id, score, matched, total and the
+    documents' modified_time, which orders ties."""
     return score_bags(index, [Q.bag(Q.parse(text))], algorithm, k1, b).drop("query_id")
 
 
@@ -96,15 +99,15 @@ def batch(index: Index, texts: list[str], limit: int = 10, algorithm: str = "bm2
     """The first ``limit`` results of many queries at once: query_id, rank,
     doc_id, score, matched. One job, whatever the number of queries."""
     scored = score_bags(index, [Q.bag(Q.parse(t)) for t in texts], algorithm)
-    with_time = scored.join(index.docs.select("doc_id", "modified_time"), "doc_id")
     best = Window.partitionBy("query_id").orderBy(*order())
-    return with_time.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score", "matched")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score", "matched")
 
 
 def page(results: DataFrame, index: Index, page: int = 1, page_size: int = 10) -> DataFrame:
     """One page of results in order, with the documents' columns."""
     page, page_size = clamp(page, page_size)
-    best = results.join(index.docs.select("doc_id", "modified_time"), "doc_id").orderBy(*order()).offset((page - 1) * page_size).limit(page_size)
+    timed = results if "modified_time" in results.columns else results.join(index.docs.select("doc_id", "modified_time"), "doc_id")
+    best = timed.orderBy(*order()).offset((page - 1) * page_size).limit(page_size)
     return best.drop("modified_time")
 
 
@@ -120,7 +123,7 @@ def compare(index: Index, text: str) -> DataFrame:
     """BM25 and TF-IDF side by side: doc_id and both scores and ranks."""
     sides = []
     for name in ("bm25", "tfidf"):
-        scored = ranked(index, text, name).join(index.docs.select("doc_id", "modified_time"), "doc_id")
+        scored = ranked(index, text, name)
         at = F.row_number().over(Window.orderBy(*order()))
         top = scored.orderBy(*order()).limit(50).withColumn("r", at)
         sides.append(top.select("doc_id", F.col("score").alias(f"{name}_score"), F.col("r").alias(f"{name}_rank")))
@@ -198,6 +201,6 @@ def boolean(index: Index, text: str, toks: DataFrame | None = None, algorithm: s
     tree = Q.parse(text)
     found = satisfying(index, tree, toks)
     terms = Q.positive(tree)
-    scores = score_bags(index, [terms], algorithm).drop("query_id")
+    scores = score_bags(index, [terms], algorithm).drop("query_id", "modified_time")
     joined = found.join(scores, "doc_id", "left")
     return joined.select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matched", F.lit(0)).alias("matched"), F.lit(len(terms)).alias("total"))

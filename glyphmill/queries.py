@@ -384,6 +384,25 @@ def boolean_stop_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(search.boolean(text_index(spark, sf_dir), "the AND clown AND NOT (loser OR the)"))
 
 
+@query(f"WITH {_INDEX}, {_scored('and clown')} SELECT doc_id, round(score, 4) AS score, matched FROM scored")
+def leading_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leading operator word is a term like others."""
+    return shown(search.ranked(text_index(spark, sf_dir), "AND clown"))
+
+
+_ASKED = [("(clown", 400, "INVALID_QUERY_SYNTAX"), ('"clown', 400, "INVALID_QUERY_SYNTAX"), ("((((((((((((((((((((((clown", 400, "INVALID_QUERY_SYNTAX"), ("w" * 300, 400, "QUERY_TOO_LONG"), ("()", 200, None), ("clown)", 200, None)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', {n}::BIGINT, {repr(code) if code else 'NULL'})" for q, n, code in _ASKED) + ") t(q, status, code)")
+def query_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the API answers to queries of wrong and of odd syntax."""
+    api, rows = Api(text_index(spark, sf_dir)), []
+    for q, _, _ in _ASKED:
+        status, body = api.search(q)
+        rows.append((q, status, json.loads(body).get("code")))
+    return spark.createDataFrame(rows, "q string, status long, code string")
+
+
 @query("SELECT doc_id, CAST(0 AS DOUBLE) AS score, CAST(0 AS BIGINT) AS matched FROM documents WHERE false")
 def null_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query without a term has no rows, and is no error."""
@@ -496,6 +515,24 @@ def stop_word_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- corpus and sinks -------------------------------------------------------
 
 
+def _html_folder(spark: SparkSession, sf_dir: str) -> str:
+    path = _scratch(spark, "html")
+    corpus.write_html_files(table(spark, sf_dir, "pages"), path)
+    return path
+
+
+@query("SELECT page_id, coalesce(html, '') AS html FROM pages")
+def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages written as files, and scanned again."""
+    return corpus.html_files(spark, _html_folder(spark, sf_dir)).select("page_id", "html")
+
+
+@query("SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id BETWEEN 1 AND 50")
+def corpus_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan of a rebuild, which takes the ids up to 50."""
+    return corpus.html_files(spark, _html_folder(spark, sf_dir), 50).select("page_id", "html")
+
+
 @query("""SELECT CAST(p_partkey AS BIGINT) AS doc_id, '/page/' || p_partkey AS path, p_name AS title, p_brand AS category, p_type || ' & ' || p_brand AS description, replace(p_type, ' ', '|') AS keywords, p_name || '|Related' AS headings,
 '/page/' || p_size || '|/page/' || (p_size + 1) AS links FROM part""")
 def generated_meta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import Folder
+
 
 def html_files(spark: SparkSession, path: str, max_id: int | None = None) -> DataFrame:
     """(page_id, url, html) of the files page_<id>.html of a folder, one row a
@@ -16,6 +22,26 @@ def html_files(spark: SparkSession, path: str, max_id: int | None = None) -> Dat
     return rows if max_id is None else rows.where(F.col("page_id").between(1, max_id))
 
 
+def write_html_files(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html") -> int:
+    """Writes every page to a file page_<id>.html of a folder; gives their number.
+    A task that is run again writes the same files again."""
+    folder = Folder(pages.sparkSession, path).qualified()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pa_fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        n = 0
+        for batch in batches:
+            for id_, html in zip(*batch.columns):
+                with store.open_output_stream(f"{root}/page_{id_.as_py()}.html") as out:
+                    out.write((html.as_py() or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(html_col).cast("string"))
+    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def stop_words(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
     """One word a line, left-trimmed, blank lines skipped; replaces the defaults."""
     rows = spark.read.text(path).select(F.ltrim("value").alias("w")).where("w != ''").limit(most + 1).collect()
