@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -372,6 +373,38 @@ def test_held_out_accuracy(spark, name, label, least):
     assert np.mean([r["predicted"] == r[label] for r in joined]) >= least
 
 
+def test_op8_scores_of_a_whole_table(spark, sf):
+    """The model is a bias and weights of words and word beginnings, hashed; the score
+    its logistic function of log counts."""
+    docs = queries.table(spark, sf, "documents")
+    model = toxicity.fit(docs, queries.table(spark, sf, "labels"))
+    got = {r["doc_id"]: r for r in queries.op8_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        counts = {}
+        for w in re.findall(r"\w+", r["text"].lower()):
+            for part in [f"w:{w}", *(f"p:{w[:k]}" for k in range(4, 9) if len(w) > k)]:
+                f = zlib.crc32(part.encode()) % (1 << toxicity.BITS)
+                counts[f] = counts.get(f, 0) + 1
+        z = model.bias + sum(model.weights.get(f, 0.0) * np.log1p(n) for f, n in counts.items())
+        row = got.pop(r["doc_id"])
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9) and row["predicted"] == int(row["score"] >= 0.5)
+    assert not got
+
+
+def test_op10_scores_of_a_whole_table(spark, sf):
+    docs = queries.table(spark, sf, "documents")
+    model = quality.fit(docs, queries.table(spark, sf, "labels"))
+    got = {r["doc_id"]: r for r in queries.op10_quality(spark, sf).collect()}
+    packers = [[zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in pair] for pair in model.pairs]
+    for r in docs.collect():
+        raw = r["text"].encode()
+        sizes = [[sum(len(p.compress(raw[k : k + 512])) for k in range(0, len(raw), 512)) for p in pair] for pair in packers]
+        d = np.mean([(bad - good) / max(len(raw), 1) for good, bad in sizes])
+        row = got.pop(r["doc_id"])
+        assert row["score"] == pytest.approx(np.interp(d, model.differences, model.scores), abs=1e-9) and row["predicted"] == int(row["score"] >= 0.3)
+    assert not got
+
+
 WORDS = ["stone", "river", "cloud", "paper", "window"]
 
 
