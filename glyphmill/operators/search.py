@@ -31,57 +31,50 @@ def term_score(algorithm: str, k1: float = scoring.K1, b: float = scoring.B) ->
     return scoring.bm25(F.col("wtf"), F.col("df"), F.col("n_docs"), F.col("word_count"), F.col("avgdl"), k1, b)
 
 
-def score_terms(index: Index, wanted: DataFrame, algorithm: str = "bm25", k1: float = scoring.K1, b: float = scoring.B) -> DataFrame:
-    """(query_id, doc_id, score, matched, total, modified_time) for ``wanted``
-    (query_id, term, times, total): one pass over the postings of all queries' terms."""
-    hits = index.postings.select("term", "doc_id", "wtf").join(F.broadcast(wanted), "term")
-    known = hits.join(F.broadcast(index.terms.join(F.broadcast(wanted.select("term").distinct()), "term").select("term", "df")), "term")
-    return _summed(known.join(index.docs.select("doc_id", "word_count", "modified_time"), "doc_id").crossJoin(F.broadcast(index.stats)), algorithm, k1, b)
+def _table(spark: SparkSession, rows: list[tuple], schema: dict[str, pa.DataType]) -> DataFrame:
+    """A small table that is part of the plan, so that it costs no job."""
+    return spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(schema.items())}))
 
 
-def score_few(index: Index, bags: list[list[str]], algorithm: str = "bm25", k1: float = scoring.K1, b: float = scoring.B, spark: SparkSession | None = None) -> DataFrame:
-    """``score_terms`` for bags of at most FEW_TERMS distinct terms.
-
-    The terms' document frequencies are looked up first. They prune the postings to
-    the ranges of the terms, and their sum is the number of postings that will be
-    read: up to FEW_HITS of them are broadcast to the documents' word counts, more
-    are joined as the optimizer likes.
+def score_bags(index: Index, bags: list[list[str]], algorithm: str = "bm25", k1: float = scoring.K1, b: float = scoring.B) -> DataFrame:
+    """(query_id, doc_id, score, matched, total, modified_time) of bags of terms: one
+    pass over the postings of all of them. A posting is scored once, however many
+    queries have its term.
+
+    Up to FEW_TERMS distinct terms are looked up first. They prune the postings to
+    the ranges of the terms, and the sum of their document frequencies is the number
+    of postings that will be read: up to FEW_HITS of them are broadcast to the
+    documents' word counts, more are joined as the optimizer likes. More terms are
+    broadcast to the postings, MAX_BATCH_TERMS at most.
     """
-    spark = spark or index.postings.sparkSession
-    distinct = sorted({t for bag in bags for t in bag})
-    found = {r["term"]: r["df"] for r in index.terms.where(F.col("term").isin(distinct)).select("term", "df").collect()} if distinct else {}
-    rows = [(i, term, n, len(bag), found[term]) for i, bag in enumerate(bags) for term, n in Counter(bag).items() if term in found]
-    kinds = {"query_id": pa.int32(), "term": pa.string(), "times": pa.int64(), "total": pa.int64(), "df": pa.int64()}
-    wanted = spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(kinds.items())}))
-    hits = index.postings.where(F.col("term").isin(sorted(found))).select("term", "doc_id", "wtf").join(F.broadcast(wanted), "term")
-    if sum(r[4] for r in rows) <= FEW_HITS:
-        hits = F.broadcast(hits)
+    spark = index.postings.sparkSession
+    wanted = [(i, term, n, len(bag)) for i, bag in enumerate(bags) for term, n in Counter(bag).items()]
+    if len(wanted) > MAX_BATCH_TERMS:
+        raise ValueError(f"a batch has at most {MAX_BATCH_TERMS} terms; split it")
+    distinct = sorted({w[1] for w in wanted})
+    asked = {"query_id": pa.int32(), "term": pa.string(), "times": pa.int64(), "total": pa.int64()}
+    postings, docs = index.postings.select("term", "doc_id", "wtf"), index.docs.select("doc_id", "word_count", "modified_time")
+    if len(distinct) <= FEW_TERMS:
+        found = {r["term"]: r["df"] for r in index.terms.where(F.col("term").isin(distinct)).select("term", "df").collect()} if distinct else {}
+        if len(bags) == 1:
+            terms = _table(spark, [(*w, found[w[1]]) for w in wanted if w[1] in found], asked | {"df": pa.int64()})
+        else:
+            terms = _table(spark, sorted(found.items()), {"term": pa.string(), "df": pa.int64()})
+        hits = postings.where(F.col("term").isin(sorted(found))).join(F.broadcast(terms), "term")
+        hits = F.broadcast(hits) if sum(found.values()) <= FEW_HITS else hits
+    else:
+        terms = index.terms.join(F.broadcast(_table(spark, [(t,) for t in distinct], {"term": pa.string()})), "term").select("term", "df")
+        hits = postings.join(F.broadcast(terms), "term")
     sizes = index.sizes
-    sized = index.docs.select("doc_id", "word_count", "modified_time").join(hits, "doc_id").withColumns({"n_docs": F.lit(sizes["n_docs"]), "avgdl": F.lit(sizes["avgdl"])})
-    return _summed(sized, algorithm, k1, b)
-
-
-def _summed(sized: DataFrame, algorithm: str, k1: float, b: float) -> DataFrame:
-    each = sized.select("query_id", "doc_id", "times", "total", "modified_time", term_score(algorithm, k1, b).alias("s"))
+    sized = docs.join(hits, "doc_id").withColumns({"n_docs": F.lit(sizes["n_docs"]), "avgdl": F.lit(sizes["avgdl"])})
+    each = sized.withColumn("s", term_score(algorithm, k1, b))
+    if "query_id" not in terms.columns:
+        each = each.select("term", "doc_id", "modified_time", "s").join(F.broadcast(_table(spark, wanted, asked)), "term")
     summed = each.groupBy("query_id", "doc_id").agg(
         F.sum(F.col("s") * F.col("times")).alias("sum"), F.sum("times").alias("matched"), F.first("total").alias("total"), F.first("modified_time").alias("modified_time")
     )
-    scored = summed.where("sum > 0").withColumn("score", scoring.coordination(F.col("sum"), F.col("matched"), F.col("total")))
-    return scored.select("query_id", "doc_id", "score", "matched", "total", "modified_time")
-
-
-def wanted_terms(spark: SparkSession, bags: list[list[str]]) -> DataFrame:
-    rows = [(i, term, n, len(bag)) for i, bag in enumerate(bags) for term, n in Counter(bag).items()]
-    if len(rows) > MAX_BATCH_TERMS:
-        raise ValueError(f"a batch has at most {MAX_BATCH_TERMS} terms; split it")
-    return spark.createDataFrame(rows, "query_id int, term string, times long, total long")
-
-
-def score_bags(index: Index, bags: list[list[str]], algorithm: str = "bm25", k1: float = scoring.K1, b: float = scoring.B) -> DataFrame:
-    """(query_id, doc_id, score, matched, total, modified_time) of bags of terms."""
-    if sum(map(len, bags)) <= FEW_TERMS:
-        return score_few(index, bags, algorithm, k1, b)
-    return score_terms(index, wanted_terms(index.postings.sparkSession, bags), algorithm, k1, b)
+    score = scoring.coordination(F.col("sum"), F.col("matched"), F.col("total"))
+    return summed.where("sum > 0").select("query_id", "doc_id", score.alias("score"), "matched", "total", "modified_time")
 
 
 def order() -> list[Column]:
