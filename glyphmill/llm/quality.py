@@ -1,12 +1,12 @@
 """Text quality by compression with trained dictionaries.
 
 Method: zstandard dictionaries are built from texts labelled good and from texts
-labelled bad, a pair of them from each half of the labelled texts. A text is
-compressed piece by piece with either of a pair; the difference of the two sizes,
+labelled bad, a pair of them from each of PAIRS parts of the labelled texts. A text
+is compressed piece by piece with either of a pair; the difference of the two sizes,
 divided by the size of the text, tells which kind it is more like. The mean
 difference of the pairs is the only input of the score: a rising function turns it
-into a probability. It is fitted by isotonic regression on the labelled texts,
-each measured with the pair that it didn't build.
+into a probability. It is fitted by isotonic regression on the labelled texts, each
+measured with the pairs that it didn't build.
 
 The fit uses at most ``rows`` labelled rows and ``most_bytes`` bytes of their texts,
 which the driver holds; whole texts are scored. Where a class has too little text
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .labelled import sample
 
 #: Labelled rows of a fit and bytes of their texts; bytes of a piece and of a
-#: dictionary; pieces that a dictionary is trained from at least.
-ROWS, BYTES, PIECE, DICTIONARY, LEAST_PIECES = 8_000, 24 << 20, 512, 65_536, 16
+#: dictionary; pieces that a dictionary is trained from at least; pairs.
+ROWS, BYTES, PIECE, DICTIONARY, LEAST_PIECES, PAIRS = 8_000, 24 << 20, 256, 65_536, 16, 4
 LEVEL = 3
 
 
@@ -46,10 +46,12 @@ def pieces_of(raw: bytes) -> list[bytes]:
 def measure(good: bytes, bad: bytes) -> Callable[[bytes], float]:
     """raw text -> how much larger it is with the bad dictionary, as a share of its
     bytes."""
-    with_good, with_bad = (
-        zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False)
-        for d in (good, bad)
-    )
+    packers = []
+    for content in (good, bad):
+        held = zstandard.ZstdCompressionDict(content)
+        held.precompute_compress(level=LEVEL)  # else every piece would digest the dictionary anew
+        packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False))
+    with_good, with_bad = packers
 
     def of(raw: bytes) -> float:
         more = sum(len(with_bad.compress(p)) - len(with_good.compress(p)) for p in pieces_of(raw))
@@ -83,7 +85,8 @@ class Model:
 def calibrate(differences: list[float], labels: list[int]) -> tuple[list[float], list[float]]:
     """Points of a rising function from difference to probability: isotonic
     regression by pooling neighbours. A pool of n rows counts as n + 1, with one
-    of the overall share, so no score is 0 or 1."""
+    of the overall share, so no score is 0 or 1; a small pool that this lifts above
+    the next one has the next one's score."""
     share = sum(labels) / len(labels)
     pools: list[list[float]] = []  # sum of the differences, rows of label 1, rows
     rate = lambda p: p[1] / p[2]
@@ -96,7 +99,7 @@ def calibrate(differences: list[float], labels: list[int]) -> tuple[list[float],
         while len(pools) > 1 and rate(pools[-2]) >= rate(pools[-1]):
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    scores = np.maximum.accumulate([(p[1] + share) / (p[2] + 1) for p in pools])
+    scores = np.minimum.accumulate([(p[1] + share) / (p[2] + 1) for p in reversed(pools)])[::-1]
     return [p[0] / p[2] for p in pools], [float(v) for v in scores]
 
 
@@ -113,20 +116,19 @@ def dictionary(texts: list[bytes]) -> bytes:
 
 
 def train(rows: list[tuple[int, str | None]]) -> Model:
-    """A model of (label, text) rows; the rows of a label go to the two halves by
-    turns."""
+    """A model of (label, text) rows; the rows of a label go to the parts by turns."""
     ones = sum(label for label, _ in rows)
     if len(rows) < 4 or not 0 < ones < len(rows):
         return Model([], [0.0], [ones / len(rows) if rows else 1.0])
-    seen, halves = [0, 0], []
+    seen, parts = [0, 0], []
     for label, _ in rows:
-        halves.append(seen[label] % 2)
+        parts.append(seen[label] % PAIRS)
         seen[label] += 1
     raws = [raw_of(text) for _, text in rows]
-    of_label = lambda half, label: dictionary([raw for raw, h, (y, _) in zip(raws, halves, rows) if h == half and y == label])
-    pairs = [(of_label(half, 1), of_label(half, 0)) for half in (0, 1)]
-    of = [measure(*pair) for pair in pairs]
-    return Model(pairs, *calibrate([of[1 - h](raw) for raw, h in zip(raws, halves)], [label for label, _ in rows]))
+    built = [tuple(dictionary([raw for raw, part, (y, _) in zip(raws, parts, rows) if part == k and y == label]) for label in (1, 0)) for k in range(PAIRS)]
+    of = [measure(*pair) for pair in built]
+    others = lambda raw, part: sum(f(raw) for k, f in enumerate(of) if k != part) / (PAIRS - 1)
+    return Model(built, *calibrate([others(raw, part) for raw, part in zip(raws, parts)], [label for label, _ in rows]))
 
 
 def fit(

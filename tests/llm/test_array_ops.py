@@ -364,8 +364,8 @@ def test_op7_on_a_whole_table(spark, sf):
 
 
 @pytest.mark.parametrize("name,label,least", [("op8_toxicity", "toxic", 0.95), ("op10_quality", "quality", 0.95)])
-def test_held_out_accuracy(spark, name, label, least):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_held_out_accuracy(spark, name, label, least, sf):
     rows = queries.QUERIES[name](spark, sf)
     assert rows.count() == queries.table(spark, sf, "documents").count()
     joined = rows.join(queries.table(spark, sf, "labels").select("doc_id", label), "doc_id").where("held_out").collect()
@@ -395,10 +395,15 @@ def test_op10_scores_of_a_whole_table(spark, sf):
     docs = queries.table(spark, sf, "documents")
     model = quality.fit(docs, queries.table(spark, sf, "labels"))
     got = {r["doc_id"]: r for r in queries.op10_quality(spark, sf).collect()}
-    packers = [[zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in pair] for pair in model.pairs]
+    def packer(content):
+        held = zstandard.ZstdCompressionDict(content)
+        held.precompute_compress(level=3)
+        return zstandard.ZstdCompressor(level=3, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    packers = [[packer(d) for d in pair] for pair in model.pairs]
     for r in docs.collect():
         raw = r["text"].encode()
-        sizes = [[sum(len(p.compress(raw[k : k + 512])) for k in range(0, len(raw), 512)) for p in pair] for pair in packers]
+        sizes = [[sum(len(p.compress(raw[k : k + 256])) for k in range(0, len(raw), 256)) for p in pair] for pair in packers]
         d = np.mean([(bad - good) / max(len(raw), 1) for good, bad in sizes])
         row = got.pop(r["doc_id"])
         assert row["score"] == pytest.approx(np.interp(d, model.differences, model.scores), abs=1e-9) and row["predicted"] == int(row["score"] >= 0.3)
@@ -460,6 +465,9 @@ def test_calibration_rises():
     at, scores = quality.calibrate([0.1, 0.3, 0.2, 0.4, 0.4, 0.0, 0.5], [0, 1, 1, 0, 1, 0, 1])
     assert at == sorted(at) and scores == sorted(scores) and 0 < scores[0] < scores[-1] < 1
     assert quality.calibrate([0.0, 0.0], [1, 0]) == ([0.0], [0.5])
+    # one row at the lower end tells little, and lifts nothing above it
+    at, scores = quality.calibrate([-1.0, -0.9, *np.linspace(-0.8, 0, 100), *np.linspace(0.1, 1, 400)], [0, 1, *[0] * 100, *[1] * 400])
+    assert scores == sorted(scores) and np.interp(-1.0, at, scores) < 0.1 and np.interp(-0.4, at, scores) < 0.1 and np.interp(0.5, at, scores) > 0.9
 
 
 def test_toxicity_cases(spark):
