@@ -250,7 +250,9 @@ class Join:
         rows = each.select(F.explode("prefix").alias("shingle"), F.col("id").alias("group"), "size")
         ends = rows.groupBy("shingle").agg(F.min("group").alias("first"), F.max("group").alias("last"), F.count("*").alias("n")).where(F.col("first") != F.col("last"))
         shared = small_side(self.scratch.save(ends.select("shingle", "first", "n"), "shared"), 24)
-        return self.scratch.save(rows.join(shared, "shingle"), "buckets")
+        made = self.scratch.save(rows.join(shared, "shingle"), "buckets")
+        self.scratch.drop("shared")
+        return made
 
     def marks(self) -> DataFrame:
         """(id, marks, size) of the nodes."""
@@ -276,6 +278,8 @@ class Join:
         texts = self.rows.join(need, self.rows["id"] == need["node"]).select("node", "text", "print", "hub", "chunk")
         sets = texts.mapInArrow(_sets(self.n), "node long, hub long, chunk int, hashes binary")
         found = self.scratch.save(sets.groupBy("hub", "chunk").applyInArrow(_verify(self.percent), "a long, b long"), f"{name}-links")
+        for done in ("met", "pairs", "needed"):
+            self.scratch.drop(f"{name}-{done}")
         self.links = found if self.links is None else self.links.union(found)
 
     def classes(self) -> DataFrame:
@@ -293,6 +297,9 @@ class Join:
         self.verify(self.to_hubs(large))
         held = self.scratch.save(self.members.select("node", "group", "size").join(self.classes(), "node"), "held")
         self.verify(self.few(buckets, held).union(self.blocked(large, held)))
+        # links and members are all that is read from here on
+        for done in ("buckets", "large", "held", "placed", "blocks", "prefixes"):
+            self.scratch.drop(done)
         return self.classes()
 
     def large(self, buckets: DataFrame) -> DataFrame:
