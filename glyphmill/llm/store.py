@@ -33,7 +33,7 @@ def small_side(df: DataFrame, value_bytes: int) -> DataFrame:
 
 #: Bytes of texts that go to a Python worker at once. A column vector doubles when it
 #: grows, so a batch takes some three times that outside the heap, in every task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -53,7 +53,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        # lz4_raw is plain Java: native compressors leave memory outside the heap in pieces
+        df.write.option("compression", "lz4_raw").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
