@@ -33,7 +33,7 @@ def apply_batch(batch: DataFrame, epoch: int, path: str, most_layers: int = MOST
     upsert that is applied again gives the same index in any case.
     """
     spark = batch.sparkSession
-    one = I.latest(batch)
+    one = I.latest(batch) if I.repeated_ids(batch) else batch
     known = {"epoch": epoch, **store.summary(batch)}
     now = store.manifest(spark, path)
     if now.get("epoch") == known or not known["rows"]:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as T
 from glyphmill.functions.scoring import field_weight
 from glyphmill.operators import index
+from glyphmill.sources import store
+from glyphmill.streaming import updates
 
 ODD = [
     (1, "Running Tests, the tests RAN; buses buzzed é ÉÉing ponies", "Stopped stopping", ["Heads  the Ties", None, ""], ["a,b", "keyed"]),
@@ -49,3 +51,20 @@ def test_repeated_ids_are_summed_up(odd):
     rows, counts = by_tokens(twice)
     assert sorted(map(repr, ix.postings.collect())) == rows
     assert all(r["word_count"] == counts.get(r["doc_id"], 0) for r in ix.docs.collect()) and ix.docs.count() == 5
+
+
+def test_update_shuffles_no_postings(spark, odd, tmp_path):
+    """Ids of changed documents are broadcast; a batch without repeated ids isn't ranked."""
+    docs, path = odd.where("doc_id < 4").withColumns({"path": F.lit(""), "links": F.array().cast("array<string>"), "file_size": F.lit(0).cast("long")}), f"file://{tmp_path}/ix"
+    store.build(docs, path)
+    for k in (1, 2):
+        assert updates.apply_batch(docs.where(F.col("doc_id") == k).withColumn("body_text", F.lit("changed text")), k, path)
+    ix = store.load(spark, path)
+    with_ids = [line for line in plan(ix.postings).splitlines() if "Join" in line]
+    assert len(with_ids) == 2 and all("BroadcastHashJoin" in line for line in with_ids) and "Exchange hash" not in plan(ix.postings)
+    whole = docs.withColumn("body_text", F.when(F.col("doc_id") < 3, "changed text").otherwise(F.col("body_text")))
+    rows, _ = by_tokens(whole)
+    assert sorted(map(repr, ix.postings.select("term", "doc_id", "tf", "wtf", "positions").collect())) == rows
+    ids = docs.where("doc_id = 3")
+    assert "BroadcastHashJoin" in plan(ix.without(ids).postings) and "SortMergeJoin" not in plan(ix.without(ids).postings)
+    assert {r["doc_id"] for r in ix.without(ids).postings.collect()} == {1, 2}
