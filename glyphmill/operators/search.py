@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.rows import FIELDS as FIELDS_OF
 from ..plans import query as Q
-from .index import Index
+from .index import Index, tokens
 
 #: Query terms are broadcast; a batch of this many distinct ones at most.
 MAX_BATCH_TERMS = 1_000_000
@@ -144,11 +145,20 @@ def phrase(index: Index, terms: list[str]) -> DataFrame:
     return found.select("doc_id")
 
 
+def _tokens_of(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """Tokens of some fields only; the texts of the others aren't read."""
+    dropped = [c for c, field in FIELDS_OF.items() if field not in fields]
+    kinds = dict(docs.dtypes)
+    return tokens(docs.withColumns({c: (F.array() if kinds[c].startswith("array") else F.lit("")).cast(kinds[c]) for c in dropped}) if dropped else docs)
+
+
 def _field(index: Index, toks: DataFrame | None, name: str, term: str) -> DataFrame:
     if name == "category":
         return index.docs.where(F.lower("category").contains(term)).select("doc_id")
     if toks is None:
-        raise ValueError("field restriction needs the tokens of the index's documents")
+        raise ValueError("field restriction needs the tokens of the index's documents, or these")
+    if "body_text" in toks.columns:
+        toks = _tokens_of(toks, FIELDS.get(name, [name]))
     return toks.where((F.col("term") == term) & F.col("field").isin(FIELDS.get(name, [name]))).select("doc_id").distinct()
 
 
@@ -190,7 +200,8 @@ def has_field(node: Q.Node | None) -> bool:
 
 def boolean(index: Index, text: str, toks: DataFrame | None = None, algorithm: str = "bm25") -> DataFrame:
     """Matches of the tree, scored by its positive terms; documents that only a
-    negation lets in score 0."""
+    negation lets in score 0. ``toks``, for fields: tokens, or documents, of which
+    only the fields that are asked for are tokenized."""
     tree = Q.parse(text)
     found = satisfying(index, tree, toks)
     terms = Q.positive(tree)

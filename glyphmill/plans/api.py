@@ -12,7 +12,7 @@ from urllib.parse import unquote_plus
 from pyspark.sql import functions as F
 
 from ..operators import search as S
-from ..operators.index import Index, tokens
+from ..operators.index import Index
 from ..operators.serving import LruCache, table_stats
 from ..operators.snippet import snippet_column
 from ..operators.suggest import FEW_RESULTS, did_you_mean, suggest
@@ -48,7 +48,7 @@ class Api:
         terms = Q.bag(tree)
         if mode == "boolean":
             # postings hold no fields: the documents' own texts tell where a term stands
-            results = S.boolean(self.index, q, tokens(self.index.docs) if S.has_field(tree) else None, ranking)
+            results = S.boolean(self.index, q, self.index.docs if S.has_field(tree) else None, ranking)
         else:
             results = S.ranked(self.index, q, ranking)
         results = results.cache()

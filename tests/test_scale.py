@@ -1,11 +1,15 @@
 """Steps of the engine that must not grow faster than their input."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmill.functions import html as H
 from glyphmill.functions import text as T
 from glyphmill.functions.scoring import field_weight
-from glyphmill.operators import index
+from glyphmill.operators import index, search
+from glyphmill.queries import QUERIES, dealt
 from glyphmill.sources import store
 from glyphmill.streaming import updates
 
@@ -68,3 +72,40 @@ def test_update_shuffles_no_postings(spark, odd, tmp_path):
     ids = docs.where("doc_id = 3")
     assert "BroadcastHashJoin" in plan(ix.without(ids).postings) and "SortMergeJoin" not in plan(ix.without(ids).postings)
     assert {r["doc_id"] for r in ix.without(ids).postings.collect()} == {1, 2}
+
+
+PAGES = [
+    None, "", "a < b", "<title>t &amp;</title><TITLE x>u\n</TITLE> b", "<title>t b", "x<SCRIPT>q<b>r</b>s</SCRIPT>y<style>2<script>3</style>4</script>5", "a<!-- <b> <a href=w>-->c<a href = '/x'><a class=q href=/y><abbr href=z>",
+    "<meta name='KEYWORDS' content=' a, ,b '><meta name=keywords content=c,><meta name=description content='&lt;d&gt; '><meta name=category><META name=category content=K>", "<h1>a<h2>b</h2></h1><H3>c</h3><h4> </h4><h5 class=x>&amp;lt;\x0b</h5><h12>no</h1>",
+    "<p>\x0b é   \n&nbsp;z<br", "<scripty>s</scripty><style/>t<title></title>", "<h1>x<!-- y --></h1><h2><title>t</title>u</h2>", "﻿<Keta><aſ href=q>text",
+]
+
+
+def test_fields_of_pages_are_those_of_the_columns(spark):
+    """One walk over a page, which is cut once for all fields."""
+    html = F.col("html")
+    rows = spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string").withColumn("url", F.lit("/u"))
+    columns = rows.select(
+        "page_id", H.title(html).alias("title"), H.meta(html, "description", "").alias("description"), H.meta(html, "category", "General").alias("category"),
+        H.keywords(html).alias("keywords"), H.headings(html).alias("headings"), H.links(html).alias("links"), H.body_text(html).alias("body_text"),
+    ).orderBy("page_id").drop("page_id")
+    found = index.parse_pages(rows)
+    assert plan(found).count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan(found)
+    assert found.orderBy("doc_id").select(*columns.columns).collect() == columns.collect()
+
+
+def test_field_restriction_tokenizes_that_field_only(spark, odd, tmp_path):
+    odd.write.parquet(f"file://{tmp_path}/docs")
+    odd = spark.read.parquet(f"file://{tmp_path}/docs")
+    ix = index.build(odd)
+    for text, field, term in (("title:test", "title", "stopp"), ("heading:tie", "heading", "tie"), ("keywords:key", "keywords", "key"), ("body:test", "body", "test")):
+        expected = {r["doc_id"] for r in index.tokens(odd).where((F.col("field") == field) & (F.col("term") == term)).collect()}
+        query = f"{field}:{term}"
+        assert {r["doc_id"] for r in search._field(ix, odd, field, term).collect()} == expected, query
+    assert "body_text" not in re.search("ReadSchema: .*", plan(search._field(ix, ix.docs, "title", "stopp")))[0]
+
+
+def test_few_files_are_dealt_to_all_cores(spark, sf):
+    n = spark.sparkContext.defaultParallelism
+    assert QUERIES["generated_meta"](spark, sf).rdd.getNumPartitions() == 3 * n
+    assert dealt(spark.read.parquet(f"{sf}/pages.parquet")).rdd.getNumPartitions() == n
