@@ -109,3 +109,10 @@ def test_few_files_are_dealt_to_all_cores(spark, sf):
     n = spark.sparkContext.defaultParallelism
     assert QUERIES["generated_meta"](spark, sf).rdd.getNumPartitions() == 3 * n
     assert dealt(spark.read.parquet(f"{sf}/pages.parquet")).rdd.getNumPartitions() == n
+
+
+def test_terms_of_a_plan_take_one_shuffle(odd):
+    """The terms of an index that isn't stored: postings are not shuffled for them."""
+    ix = index.build(odd, ["test"], positions=False)
+    assert plan(ix.terms).count("Exchange") == 1
+    assert ix.terms.agg(F.sum("cf")).first()[0] == ix.postings.agg(F.sum("tf")).first()[0] > 0
