@@ -1,11 +1,14 @@
 """Steps of the engine that must not grow faster than their input."""
 
 import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import html as H
+from glyphmill.functions import rows as R
 from glyphmill.functions import text as T
 from glyphmill.functions.scoring import field_weight
 from glyphmill.operators import index, search
@@ -116,3 +119,43 @@ def test_terms_of_a_plan_take_one_shuffle(odd):
     ix = index.build(odd, ["test"], positions=False)
     assert plan(ix.terms).count("Exchange") == 1
     assert ix.terms.agg(F.sum("cf")).first()[0] == ix.postings.agg(F.sum("tf")).first()[0] > 0
+
+
+@pytest.mark.parametrize("stop_words,keep_fields", [(None, True), (None, False), (["test", "thi", "é"], True), ([], False)])
+def test_terms_of_a_plan_make_no_postings(odd, stop_words, keep_fields):
+    """What leaves the documents' tasks for the terms are sums over many documents."""
+    control = odd.where("doc_id = 1").withColumns({"doc_id": F.lit(9).cast("long"), "body_text": F.lit("a\x1cbc\x0bde\x00f\x85g\u2003Hi~ss ings ssed ff[eed]égged")})
+    docs = odd.union(control)
+    ix = index.build(docs, stop_words, keep_fields, positions=False)
+    assert not re.search(r"\btf#", plan(ix.terms))
+    toks = index.tokens(docs, keep_fields).where(~T.is_stop_word(F.col("term"), stop_words))
+    expected = Counter(map(tuple, toks.select("term", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).collect()))
+    df, cf = Counter(t for t, _ in expected), Counter()
+    for (term, _), n in expected.items():
+        cf[term] += n
+    assert sorted(map(tuple, ix.terms.collect())) == sorted((t, n, cf[t]) for t, n in df.items())
+
+
+@pytest.mark.parametrize("portion", [1, 100, 10_000])
+def test_portions_of_documents_count_as_the_whole(monkeypatch, portion):
+    monkeypatch.setattr(R, "PORTION", portion)
+    texts = [None, "", " ", *(f"word{k % 7} words both ties tied {'x' * (k % 45)}" for k in range(60)), "w" * 500, "last tie"]
+    rows = pa.RecordBatch.from_pydict({"body_text": pa.array(texts), "headings": pa.array([None, [], [None, "tie a"], *[["both"]] * (len(texts) - 3)], pa.list_(pa.string()))})
+    df, cf = Counter(), Counter()
+    for made in R.term_counts(iter([rows.slice(0, 20), rows.slice(20, 0), rows.slice(20)]), ["headings", "body_text"], ["last"]):
+        assert len(set(made["term"].to_pylist())) == made.num_rows > 0
+        for r in made.to_pylist():
+            df[r["term"]] += r["df"]
+            cf[r["term"]] += r["cf"]
+    terms = R.Terms(["last"])
+    docs = [[terms[w] for t in [*(h or []), b] for w in R.words(t and t.encode())] for h, b in zip(rows["headings"].to_pylist(), texts)]
+    assert {t.encode(): n for t, n in cf.items()} == Counter(t for d in docs for t in d if t)
+    assert {t.encode(): n for t, n in df.items()} == Counter(t for d in docs for t in set(d) if t)
+    assert not list(R.term_counts(iter([rows.slice(0, 2)]), ["body_text"], None))
+
+
+def test_stems_of_an_array_are_those_of_words():
+    words = [a + b + c for a in (b"", b"s", b"ab", b"hopp", "é".encode(), b"agre", b"pas") for b in (b"", b"s", b"ss", b"pp", b"ee", b"\x80\x80", "ée".encode()) for c in (b"", b"ing", b"tion", b"ed", b"ies", b"es", b"s", b"ss", b"ied")]
+    array = pa.array(words, pa.large_binary())
+    assert R.stems(array).to_pylist() == [R.stem(w) for w in words]
+    assert R.stems(array.slice(7, 40)).to_pylist() == [R.stem(w) for w in words[7:47]] and len(R.stems(array.slice(0, 0))) == 0
