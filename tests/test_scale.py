@@ -159,3 +159,16 @@ def test_stems_of_an_array_are_those_of_words():
     array = pa.array(words, pa.large_binary())
     assert R.stems(array).to_pylist() == [R.stem(w) for w in words]
     assert R.stems(array.slice(7, 40)).to_pylist() == [R.stem(w) for w in words[7:47]] and len(R.stems(array.slice(0, 0))) == 0
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_postings_for_terms_are_of_repeated_ids_only(monkeypatch, odd, few):
+    """One repeated id doesn't send the words of all documents through a shuffle."""
+    if not few:
+        monkeypatch.setattr(index, "FEW_IDS", 0)
+    docs = odd.union(odd.where("doc_id = 1 or doc_id is null"))
+    ix = index.build(docs, ["test"], positions=False)
+    expected = sorted(map(tuple, index.term_table(ix.postings).collect()))
+    assert sorted(map(tuple, ix.terms.collect())) == expected
+    assert len(expected) > 20
+    assert "LeftSemi" in plan(ix.terms) and few <= ("BroadcastHashJoin" in plan(ix.terms))
